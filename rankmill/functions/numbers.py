@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NBSP = " "
+NBSP = "\u00a0"
 
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 BLANKS = r"^[\t-\r ]+|[\t-\r ]+$"

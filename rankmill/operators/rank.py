@@ -2,13 +2,14 @@
 
 A window over (group) ordered by (value) sorts each group in a single task, which fails once one
 group holds a large part of the data. All ranking functions only depend on how many rows, and how
-many distinct values, lie below a value. So the rows are first counted per (group, value), which
-combines on the map side; the distinct values of big groups are cut into ordered chunks; running
-counts are taken inside each chunk; and the totals of the chunks before it are added. The result,
-one row per (group, value), is joined back to the rows.
-
-The cuts are the distinct values with the smallest hashes. They depend on nothing but the data, so
-a recomputed stage always gets the same chunks.
+many distinct values, lie up to a value. So the rows are first counted per (group, value), which
+combines on the map side; the counts are range-partitioned by (group, value), so that a big group
+is spread over many partitions; running counts are taken inside each partition's share of a group,
+and the totals of its earlier partitions are added. The result, one row per (group, value), is
+joined back to the rows.
+
+The range-partitioned counts are checkpointed with their partition number, so every later step,
+and every recomputation after a lost executor, sees the same partitions.
 """
 
 from __future__ import annotations
@@ -17,92 +18,59 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankmill.operators.joins import join_per_key
-
-VALUES_PER_CHUNK = 250_000
-MAX_CUTS = 20_000
-
+from rankmill.session import checkpoint
 
-def _cuts_below(cuts: Column, value: Column, max_cuts: int) -> Column:
-    """Number of entries of the sorted array below ``value``, by bisection."""
 
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.shiftright(span.lo + span.hi, 1)
-        return (
-            F.when(span.lo >= span.hi, span)
-            .when(F.get(cuts, middle) < value, F.struct((middle + 1).alias("lo"), span.hi.alias("hi")))
-            .otherwise(F.struct(span.lo.alias("lo"), middle.alias("hi")))
-        )
-
-    # The number of cuts is random around max_cuts at most; two spare steps cover four times that.
-    steps = F.sequence(F.lit(1), F.lit(max_cuts.bit_length() + 2))
-    whole = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(steps, whole, halve, lambda span: span.lo)
+def _group_key(scope: int, keys: Sequence[str], by: Sequence[str], types: Mapping[str, str]) -> Column:
+    """One struct that identifies a group in any scope; inside a struct NULLs equal each other."""
+    parts = [F.lit(scope).alias("scope")]
+    parts += [(F.col(k) if k in by else F.lit(None).cast(types[k])).alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.struct(*parts)
 
 
-def _with_chunk(
-    counted: DataFrame, by: Sequence[str], value: str, null_safe: bool, values_per_chunk: int, max_cuts: int
-) -> DataFrame:
-    total = counted.agg(F.count(F.lit(1)).cast("double")).scalar()
-    chosen = F.least(F.lit(1.0 / values_per_chunk), F.lit(float(max_cuts)) / total)
-    uniform = F.shiftrightunsigned(F.xxhash64(*by, value), 11).cast("double") / F.lit(float(2**53))
-    cuts = (
-        counted.filter(F.col(value).isNotNull() & (uniform < chosen))
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-    )
-    # About max_cuts values over all groups, whatever the data: small enough to broadcast.
-    chunk = F.when(F.col("_cuts").isNull(), 0).when(F.col(value).isNull(), F.size("_cuts"))
-    return (
-        join_per_key(counted, F.broadcast(cuts), by, "left", null_safe)
-        .withColumn("_chunk", chunk.otherwise(_cuts_below(F.col("_cuts"), F.col(value), max_cuts)))
-        .drop("_cuts")
+def _count_values(df: DataFrame, value: str, groups: Sequence[Column], partitions: int | None) -> DataFrame:
+    """Rows per (group, value) for all scopes at once, range-partitioned and checkpointed."""
+    counted = (
+        df.select(F.explode(F.array(*groups)).alias("_group") if len(groups) > 1 else groups[0].alias("_group"), value)
+        .groupBy("_group", value)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    order = [F.col("_group"), F.col(value).asc_nulls_last()]
+    ranged = counted.repartitionByRange(partitions, *order) if partitions else counted.repartitionByRange(*order)
+    return checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def value_positions(
-    counted: DataFrame,
-    by: Sequence[str],
-    value: str,
-    null_safe: bool = True,
-    values_per_chunk: int = VALUES_PER_CHUNK,
-    max_cuts: int = MAX_CUTS,
-) -> DataFrame:
-    """Positions of each distinct value in its group, ascending with NULL last.
+def _positions(counted: DataFrame, value: str) -> DataFrame:
+    """Place of each distinct value in its group, ascending with NULL last.
 
-    ``counted`` has one row per (by, value) and its number of rows ``_n``. Adds ``_upto`` (rows up
-    to and with the value), ``_place`` (distinct values up to and with it), ``_rows``, ``_values``
-    (distinct non-NULL values) and ``_top`` (largest value) of the group.
+    ``_upto`` and ``_place`` are the rows and the distinct values up to and with the value;
+    ``_rows``, ``_values`` (non-NULL, distinct) and ``_top`` (largest value) describe the group.
     """
-    chunked = _with_chunk(counted, by, value, null_safe, values_per_chunk, max_cuts)
-
-    in_chunk = Window.partitionBy(*by, "_chunk").orderBy(F.col(value).asc_nulls_last())
-    running = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = chunked.withColumns(
-        {"_upto": F.sum("_n").over(running), "_place": F.row_number().over(in_chunk).cast("bigint")}
+    share = Window.partitionBy("_group", "_part").orderBy(F.col(value).asc_nulls_last())
+    running = share.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = counted.withColumns(
+        {"_upto": F.sum("_n").over(running), "_place": F.row_number().over(share).cast("bigint")}
     )
-
-    totals = chunked.groupBy(*by, "_chunk").agg(
-        F.sum("_n").alias("_chunk_rows"),
-        F.count(F.lit(1)).alias("_chunk_places"),
-        F.count(value).alias("_chunk_values"),
-        F.max(value).alias("_chunk_top"),
+    totals = counted.groupBy("_group", "_part").agg(
+        F.sum("_n").alias("_part_rows"),
+        F.count(F.lit(1)).alias("_part_places"),
+        F.count(value).alias("_part_values"),
+        F.max(value).alias("_part_top"),
     )
-    # One row per chunk: at most about max_cuts rows in a group.
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group and partition, so a group has no more rows here than there are partitions.
+    group = Window.partitionBy("_group")
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
-        "_chunk",
-        F.coalesce(F.sum("_chunk_rows").over(before), F.lit(0)).alias("_rows_before"),
-        F.coalesce(F.sum("_chunk_places").over(before), F.lit(0)).alias("_places_before"),
-        F.sum("_chunk_rows").over(group).alias("_rows"),
-        F.sum("_chunk_values").over(group).alias("_values"),
-        F.max("_chunk_top").over(group).alias("_top"),
+        F.col("_group").alias("_g"),
+        F.col("_part").alias("_p"),
+        F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_part_places").over(earlier), F.lit(0)).alias("_places_before"),
+        F.sum("_part_rows").over(group).alias("_rows"),
+        F.sum("_part_values").over(group).alias("_values"),
+        F.max("_part_top").over(group).alias("_top"),
     )
-    joined = join_per_key(within, offsets, [*by, "_chunk"], null_safe=list(by) if null_safe else False)
-    return joined.select(
-        *by,
+    return within.join(offsets, (F.col("_group") == F.col("_g")) & (F.col("_part") == F.col("_p"))).select(
+        "_group",
         value,
         "_n",
         (F.col("_rows_before") + F.col("_upto")).alias("_upto"),
@@ -116,11 +84,10 @@ def value_positions(
 def _rank_columns(value: str) -> dict[str, Column]:
     rows, upto, place = F.col("_rows"), F.col("_upto"), F.col("_place")
     below = upto - F.col("_n")
+    others = F.nullif(rows - 1, F.lit(0).cast("bigint"))
     return {
         "cume_dist": upto.cast("double") / rows,
-        "percent_rank": F.when(rows == 1, F.lit(0.0)).otherwise(
-            below.cast("double") / F.nullif(rows - 1, F.lit(0).cast("bigint"))
-        ),
+        "percent_rank": F.coalesce(below.cast("double") / others, F.lit(0.0)),
         "rank": below + 1,
         "dense_rank": place,
         "dense_rank_desc": F.when(F.col(value).isNull(), F.col("_values") + 1).otherwise(
@@ -135,29 +102,28 @@ def with_ranks(
     df: DataFrame,
     value: str,
     scopes: Sequence[tuple[Sequence[str], Mapping[str, str]]],
-    null_safe: bool = True,
-    **chunking: int,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Rank ``value`` in one or more group scopes and add the results to the rows.
 
     ``scopes`` pairs group columns with {new column: kind}; kinds are ``cume_dist``,
     ``percent_rank``, ``rank``, ``dense_rank``, ``dense_rank_desc``, ``count`` and ``max``. Values
-    ascend, NULL comes last in both directions. All scopes share one count of the rows. Pass
-    ``null_safe=False`` when neither group columns nor value can be NULL: it saves a shuffle.
+    ascend, NULL comes last in both directions, NULL group columns form a group of their own.
+    All scopes share one count of the rows. ``partitions`` overrides the number of ranges.
     """
     keys = list(dict.fromkeys(k for by, _ in scopes for k in by))
-    finest = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    types = {k: df.schema[k].dataType.simpleString() for k in keys}
+    groups = [_group_key(i, keys, by, types) for i, (by, _) in enumerate(scopes)]
+    positions = _positions(_count_values(df, value, groups, partitions), value)
+    kinds = _rank_columns(value)
     out = df
-    for by, wanted in scopes:
-        by = list(by)
-        counted = finest
-        if set(by) != set(keys):
-            counted = finest.groupBy(*by, value).agg(F.sum("_n").alias("_n"))
-        kinds = _rank_columns(value)
-        ranks = value_positions(counted, by, value, null_safe, **chunking).select(
-            *by, value, *[kinds[kind].alias(name) for name, kind in wanted.items()]
+    for i, (_, wanted) in enumerate(scopes):
+        ranks = positions.filter(F.col("_group.scope") == i).select(
+            F.struct("_group", F.col(value).alias("v")).alias("_at"),
+            *[kinds[kind].alias(name) for name, kind in wanted.items()],
         )
-        out = join_per_key(out, ranks, [*by, value], null_safe=null_safe)
+        # A hot value sits on the side of the rows, which Spark may split over many tasks.
+        out = out.join(ranks, F.struct(groups[i], F.col(value).alias("v")) == F.col("_at")).drop("_at")
     return out
 
 
