@@ -39,7 +39,7 @@ def year_filter(df: DataFrame, column: str, value: Any, bad: str = "all") -> Dat
     try:
         return df.filter(F.col(column) == int(value))
     except (TypeError, ValueError):
-        return df if bad == "all" else df.limit(0)
+        return df if bad == "all" else df.filter(F.lit(False))
 
 
 def distinct_values(df: DataFrame, column: str, limit: int | None = 500) -> DataFrame:
