@@ -2,6 +2,9 @@
 
 Files are read as lines, so a big file is spread over tasks like any other. Only facts about a
 file (encoding, separator, header) are aggregated to one row per file and joined back.
+
+A line's place in its file is known only while the file is scanned, so the scanned lines are
+checkpointed with it: all later steps then agree on which line is the header.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rankmill.functions.text import file_name, is_blank
 from rankmill.operators.joins import join_per_key
+from rankmill.session import checkpoint
 
 # Candidate separators, first wins ties; encodings in the order they are tried.
 SEPARATORS = [";", ",", "\t", "|"]
@@ -40,16 +44,11 @@ def read_numbered_lines(spark: SparkSession, path: str, glob: str = "*.csv") ->
     A file is UTF-8 if all its lines are, else cp1252 if all its bytes are, else UTF-8 with
     invalid bytes replaced.
     """
-    lines = (
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = checkpoint(
         spark.read.option("pathGlobFilter", glob)
         .text(path)
-        .select(
-            "value",
-            file_name().alias("source_file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-            ).alias("at"),
-        )
+        .select("value", file_name().alias("source_file"), at.alias("at"))
     )
     encodings = lines.groupBy("source_file").agg(
         F.when(F.every(F.is_valid_utf8("value")), UTF8)
@@ -184,12 +183,11 @@ def read_sniffed(spark: SparkSession, path: str, glob: str = "*.csv", head_lines
 
 def load_status(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     """(source_file, status, reason, n_rows) per file; failed when a data line is wider than the header."""
-    facts = sniff(lines, head_lines).select("source_file", "n_seps")
-    width = F.size("fields")
-    data = table_rows(lines, None, head_lines).groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(width).alias("widest")
+    facts = sniff(lines, head_lines)
+    data = table_rows(lines, facts).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("fields")).alias("widest")
     )
-    out = join_per_key(facts, data, ["source_file"], "left")
+    out = join_per_key(facts.select("source_file", "n_seps"), data, ["source_file"], "left")
     wide = F.coalesce(F.col("widest"), F.lit(0)) > F.col("n_seps") + 1
     return out.select(
         "source_file",
