@@ -9,8 +9,6 @@ checkpointed with it: all later steps then agree on which line is the header.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rankmill.functions.text import file_name, is_blank
@@ -126,20 +124,51 @@ def sniff_text(text: Column, head_lines: int = HEAD_LINES) -> Column:
     return F.struct(best["sep"].alias("sep"), best["start"].alias("start"), best["n_seps"].alias("n_seps"))
 
 
+def _literal(sep: Column) -> Column:
+    return F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+
+
 def split_by(line: Column, sep: Column) -> Column:
-    """Fields of a line under the separator in a column; quotes may enclose separators."""
-    plain = quoted = None
-    for s in SEPARATORS:
-        p = F.split(line, re.escape(s))
-        q = F.transform(F.split(line, re.escape(s) + '(?=(?:[^"]*"[^"]*")*[^"]*$)'), _unquote)
-        plain = F.when(sep == s, p) if plain is None else plain.when(sep == s, p)
-        quoted = F.when(sep == s, q) if quoted is None else quoted.when(sep == s, q)
-    return F.when(line.contains('"'), quoted).otherwise(plain)
+    """Fields of a line under the separator in a column; pairs of quotes may enclose separators."""
+    parts = F.split(line, '"')
+
+    def hide(part: Column, i: Column) -> Column:
+        enclosed = (i % 2 == 1) & (i < F.size(parts) - 1)
+        return F.when(enclosed, F.replace(part, sep, F.lit("\x01"))).otherwise(part)
+
+    def show(f: Column) -> Column:
+        inner = F.when(f.rlike('^"(?s).*"$'), F.substr(f, F.lit(2), F.length(f) - 2)).otherwise(f)
+        return F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit("\x01"), sep)
+
+    quoted = F.transform(F.split(F.array_join(F.transform(parts, hide), '"'), _literal(sep)), show)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, _literal(sep)))
+
+
+def text_rows(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
+    """(file, ln, header, raw_line, fields) of whole files held in a text column, without a shuffle."""
+    sniffed = df.select(F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s"))
+    body = sniffed.select(
+        file, F.col("_s.sep").alias("_sep"), F.col("_s.start").alias("_start"),
+        F.get("_lines", F.col("_s.start")).alias("header"), F.posexplode("_lines").alias("ln", "raw_line"),
+    ).filter((F.col("ln") > F.col("_start")) & ~is_blank("raw_line"))
+    return body.select(file, "ln", "header", "raw_line", split_by(F.col("raw_line"), F.col("_sep")).alias("fields"))
+
+
+def text_status(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
+    """(file, status, reason, n_rows) of whole files held in a text column, without a shuffle."""
+    sniffed = df.select(F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s"))
+    body = F.filter("_lines", lambda line, i: (i > F.col("_s.start")) & ~is_blank(line))
+    wide = F.exists("_body", lambda line: F.size(split_by(line, F.col("_s.sep"))) > F.col("_s.n_seps") + 1)
+    return sniffed.withColumn("_body", body).select(
+        file, *_status(wide), F.size("_body").cast("bigint").alias("n_rows")
+    )
 
 
-def _unquote(f: Column) -> Column:
-    inner = F.regexp_extract(f, '^"((?s).*)"$', 1)
-    return F.when(f.rlike('^"(?s).*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
+def _status(too_wide: Column) -> tuple[Column, Column]:
+    return (
+        F.when(too_wide, "failed").otherwise("ok").alias("status"),
+        F.when(too_wide, "too_many_fields").alias("reason"),
+    )
 
 
 def table_rows(lines: DataFrame, sniffed: DataFrame | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
@@ -190,10 +219,7 @@ def load_status(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     out = join_per_key(facts.select("source_file", "n_seps"), data, ["source_file"], "left")
     wide = F.coalesce(F.col("widest"), F.lit(0)) > F.col("n_seps") + 1
     return out.select(
-        "source_file",
-        F.when(wide, "failed").otherwise("ok").alias("status"),
-        F.when(wide, "too_many_fields").alias("reason"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        "source_file", *_status(wide), F.coalesce("n_rows", F.lit(0)).alias("n_rows")
     )
 
 
