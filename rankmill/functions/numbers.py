@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 NBSP = "\u00a0"
 
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
-BLANKS = r"^[\t-\r ]+|[\t-\r ]+$"
+BLANKS = "\t\n\v\f\r "
 
 
 def _col(c: Column | str) -> Column:
@@ -20,13 +20,13 @@ def _col(c: Column | str) -> Column:
 
 
 def lenient_double(c: Column | str) -> Column:
-    text = F.regexp_replace(_col(c), BLANKS, "")
+    text = F.btrim(_col(c), F.lit(BLANKS))
     return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def lenient_int(c: Column | str, to: str = "int") -> Column:
     """Whole number of type ``to``; ``12.5`` gives 13. Plain digits take the cheap first branch."""
-    text = F.regexp_replace(_col(c), BLANKS, "")
+    text = F.btrim(_col(c), F.lit(BLANKS))
     exact = F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,10)")
     return F.coalesce(
         _col(c).try_cast(to),

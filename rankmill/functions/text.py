@@ -11,7 +11,8 @@ from pyspark.sql import Column, functions as F
 UNICODE_BLANK = (
     r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-SPACE_SEPARATORS = r"\p{Zs}"
+SPACES = "".join(chr(c) for c in (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))
+CONTROL_BLANKS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0x2028, 0x2029))
 URL = r'(https?://[^\s;,")]+)'
 YEAR_DIGITS = "([0-9]{4})"
 
@@ -26,12 +27,12 @@ def is_blank(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop white space of any kind from both ends."""
-    return F.regexp_replace(_col(c), f"^[{UNICODE_BLANK}]+|[{UNICODE_BLANK}]+$", "")
+    return F.btrim(_col(c), F.lit(SPACES + CONTROL_BLANKS))
 
 
 def trim_spaces(c: Column | str) -> Column:
     """Drop space separators (no-break spaces too) but not tabs or line ends from both ends."""
-    return F.regexp_replace(_col(c), f"^{SPACE_SEPARATORS}+|{SPACE_SEPARATORS}+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def field(line: Column | str, position: int, sep: str = ";") -> Column:

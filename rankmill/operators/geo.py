@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankmill.functions.text import only_digits, strip, zero_fill
@@ -68,7 +69,8 @@ def _points(geometry: Column | str) -> Column:
 
 def extent(geometry: Column | str) -> dict[str, Column]:
     """Smallest and largest lon and lat."""
-    lon, lat = (F.transform(_points(geometry), lambda p, i=i: F.get(p, F.lit(i))) for i in (0, 1))
+    lon = F.transform(_points(geometry), lambda p: F.get(p, F.lit(0)))
+    lat = F.transform(_points(geometry), lambda p: F.get(p, F.lit(1)))
     return {"xmin": F.array_min(lon), "ymin": F.array_min(lat), "xmax": F.array_max(lon), "ymax": F.array_max(lat)}
 
 
@@ -136,63 +138,98 @@ def with_srid(df: DataFrame, geometry: str = "geometry", srid: int = LON_LAT_SRI
     return df.withColumn("srid", F.when(~fine, F.raise_error("not lon/lat").cast("int")).otherwise(F.lit(srid)))
 
 
-def _keep(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on an open line: which points stay."""
+def _farthest(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per span (first, last): the inner point farthest from the line between the ends, and how far."""
+    sizes = last - first - 1
+    starts = np.cumsum(sizes) - sizes
+    span = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.arange(len(span)) - starts[span] + first[span] + 1
+    base = points[last] - points[first]
+    length = np.einsum("ij,ij->i", base, base)[span]
+    offset = points[inner] - points[first[span]]
+    along = np.einsum("ij,ij->i", offset, base[span]) / np.where(length == 0, 1, length)
+    away = np.hypot(*(offset - np.clip(along, 0, 1)[:, None] * base[span]).T)
+    most = np.maximum.reduceat(away, starts)
+    winner = np.where(away == most[span], inner, len(points))
+    return np.minimum.reduceat(winner, starts), most
+
+
+def kept_points(points: np.ndarray, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker on many closed rings at once; ``starts`` holds each ring's first index and the end.
+
+    All spans of one depth are measured together. A closed ring has no base line, so it is first
+    split at the point farthest from its start. Rings keep at least four points.
+    """
     keep = np.zeros(len(points), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(points) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        base, inner = points[b] - points[a], points[a + 1 : b] - points[a]
-        length = float(base @ base)
-        along = np.clip(inner @ base / length, 0, 1) if length else np.zeros(len(inner))
-        away = np.hypot(*(inner - along[:, None] * base).T)
-        far = int(away.argmax())
-        if away[far] > tolerance:
-            middle = a + 1 + far
-            keep[middle] = True
-            spans += [(a, middle), (middle, b)]
+    small = np.diff(starts) <= 4
+    keep[np.repeat(small, np.diff(starts))] = True
+    first, last = starts[:-1][~small], starts[1:][~small] - 1
+    if not len(first):
+        return keep
+    keep[first] = keep[last] = True
+    turn, _ = _farthest(points, first, last)
+    keep[turn] = True
+    spare = np.stack([_second(points, first, turn), _second(points, turn, last)])
+    spans = np.concatenate([first, turn]), np.concatenate([turn, last])
+    while True:
+        wide = spans[1] - spans[0] > 1
+        a, b = spans[0][wide], spans[1][wide]
+        if not len(a):
+            break
+        middle, away = _farthest(points, a, b)
+        far = away > tolerance
+        keep[middle[far]] = True
+        spans = np.concatenate([a[far], middle[far]]), np.concatenate([middle[far], b[far]])
+    # A ring that fell to three points (start, turn, start) gets its widest remaining point back.
+    flat = np.array([keep[f : l + 1].sum() < 4 for f, l in zip(first, last)])
+    for ring in np.flatnonzero(flat):
+        candidates = [p for p in spare[:, ring] if p >= 0]
+        base = points[turn[ring]] - points[first[ring]]
+        offset = points[candidates] - points[first[ring]]
+        keep[candidates[int(np.abs(offset @ np.array([-base[1], base[0]])).argmax())]] = True
     return keep
 
 
-def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Closed ring with fewer points; it stays closed and keeps at least four points."""
-    if len(ring) <= 4:
-        return ring
-    # Split at the point farthest from the start: a closed line has no base to measure from.
-    turn = int(np.hypot(*(ring - ring[0]).T).argmax())
-    if turn in (0, len(ring) - 1):
-        return ring
-    keep = np.concatenate([_keep(ring[: turn + 1], tolerance), _keep(ring[turn:], tolerance)[1:]])
-    if keep.sum() < 4:
-        gone = np.flatnonzero(~keep)
-        base = ring[turn] - ring[0]
-        offset = np.abs(base[0] * (ring[gone, 1] - ring[0, 1]) - base[1] * (ring[gone, 0] - ring[0, 0]))
-        keep[gone[int(offset.argmax())]] = True
-    return ring[keep]
+def _second(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Per span the farthest inner point, -1 where there is none."""
+    out = np.full(len(first), -1)
+    wide = last - first > 1
+    if wide.any():
+        out[wide] = _farthest(points, first[wide], last[wide])[0]
+    return out
 
 
 def simplify(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry: str = "geometry") -> DataFrame:
     """Thin out rings; a tolerance of 0 leaves them alone. Neighbours are simplified independently.
 
     Bisection of a line at its farthest point has no built-in equivalent, so this one step runs in
-    pandas, batch by batch on the features' own rows.
+    numpy, on the points of a whole Arrow batch of features at a time.
     """
     if not tolerance or float(tolerance) <= 0:
         return df
 
-    @F.pandas_udf(GEOMETRY)
-    def thin(geometries: pd.Series) -> pd.Series:
-        def one(polygons):
-            if polygons is None:
-                return None
-            return [
-                [simplify_ring(np.stack(list(ring)).astype(float), float(tolerance)).tolist() for ring in rings]
-                for rings in polygons
-            ]
-
-        return geometries.map(one)
+    @F.arrow_udf(GEOMETRY)
+    def thin(geometries: pa.Array) -> pa.Array:
+        polygons = geometries.flatten()
+        rings = polygons.flatten()
+        pairs = rings.flatten()
+        if len(pairs) == 0:
+            return geometries
+        points = pairs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        starts = _offsets(rings)
+        keep = kept_points(points, starts, float(tolerance))
+        kept = np.concatenate([[0], np.cumsum(keep)])[starts]
+        flat = pa.array(points[keep].ravel())
+        out = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1) * 2, pa.int32()), flat)
+        out = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), out)
+        out = pa.ListArray.from_arrays(pa.array(_offsets(polygons), pa.int32()), out)
+        missing = geometries.is_null() if geometries.null_count else None
+        return pa.ListArray.from_arrays(pa.array(_offsets(geometries), pa.int32()), out, mask=missing)
 
     return df.withColumn(geometry, thin(geometry))
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Start of each list and the end of the last, counted from 0; a NULL list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)])

@@ -9,6 +9,9 @@ checkpointed with it: all later steps then agree on which line is the header.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rankmill.functions.text import file_name, is_blank
@@ -106,26 +109,40 @@ def sniff(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sniff_text(text: Column, head_lines: int = HEAD_LINES) -> Column:
     """The same for a whole file held in one value: struct(sep, start, n_seps), no shuffle."""
-    head = F.slice(F.split(text, "\n"), 1, head_lines)
 
-    def candidate(i: int, sep: str) -> Column:
+    def candidate(head: Column, i: int, sep: str) -> Column:
         counts = F.transform(head, lambda line: _occurrences(line, sep))
-        most = F.array_max(counts)
-        return F.struct(
-            most.alias("n_seps"),
-            F.lit(-i).alias("rank"),
-            F.lit(sep).alias("sep"),
-            (F.array_position(counts, most) - 1).cast("int").alias("start"),
+        return _let(
+            counts,
+            lambda c: F.struct(
+                F.array_max(c).alias("n_seps"),
+                F.lit(-i).alias("rank"),
+                F.lit(sep).alias("sep"),
+                (F.array_position(c, F.array_max(c)) - 1).cast("int").alias("start"),
+            ),
         )
 
-    best = F.greatest(*[candidate(i, sep) for i, sep in enumerate(SEPARATORS)])
-    return F.struct(best["sep"].alias("sep"), best["start"].alias("start"), best["n_seps"].alias("n_seps"))
+    def best(head: Column) -> Column:
+        return F.greatest(*[candidate(head, i, sep) for i, sep in enumerate(SEPARATORS)])
+
+    head = F.slice(F.split(text, "\n"), 1, head_lines)
+    return _let(_let(head, best), lambda b: F.struct(b.sep.alias("sep"), b.start.alias("start"), b.n_seps.alias("n_seps")))
 
 
-def _literal(sep: Column) -> Column:
-    return F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+def _split(line: Column, sep: Column) -> Column:
+    """Split under the separator in a column, with one fixed pattern per candidate."""
+    out = None
+    for s in SEPARATORS:
+        fields = F.split(line, re.escape(s))
+        out = F.when(sep == s, fields) if out is None else out.when(sep == s, fields)
+    return out
 
 
 def split_by(line: Column, sep: Column) -> Column:
@@ -140,8 +157,8 @@ def split_by(line: Column, sep: Column) -> Column:
         inner = F.when(f.rlike('^"(?s).*"$'), F.substr(f, F.lit(2), F.length(f) - 2)).otherwise(f)
         return F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit("\x01"), sep)
 
-    quoted = F.transform(F.split(F.array_join(F.transform(parts, hide), '"'), _literal(sep)), show)
-    return F.when(line.contains('"'), quoted).otherwise(F.split(line, _literal(sep)))
+    quoted = F.transform(_split(F.array_join(F.transform(parts, hide), '"'), sep), show)
+    return F.when(line.contains('"'), quoted).otherwise(_split(line, sep))
 
 
 def text_rows(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:

@@ -9,11 +9,11 @@ results as (
     lpad(cast(n_nationkey as varchar), 2, '0') as lan_kod,
     l_returnflag as huvudman_typ, 'S' || cast(l_linenumber as varchar) as subject,
     count(*) as n, cast(sum(cents) as bigint) as cents,
-    cast(sum(cents) as double) / count(*) as total,
-    cast(sum(case when l_linestatus = 'F' then cents end) as double)
-      / nullif(count(case when l_linestatus = 'F' then 1 end), 0) as f,
-    cast(sum(case when l_linestatus = 'O' then cents end) as double)
-      / nullif(count(case when l_linestatus = 'O' then 1 end), 0) as m
+    cast(cast(sum(cents) as bigint) // count(*) as double) as total,
+    cast(cast(sum(case when l_linestatus = 'F' then cents end) as bigint)
+      // nullif(count(case when l_linestatus = 'F' then 1 end), 0) as double) as f,
+    cast(cast(sum(case when l_linestatus = 'O' then cents end) as bigint)
+      // nullif(count(case when l_linestatus = 'O' then 1 end), 0) as double) as m
   from (select *, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem) l
     join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
   group by 1, 2, 3, 4, 5, 6, 7)"""
@@ -376,7 +376,7 @@ union all select kon, 'Moms/Skatt', {_wavg('tax')} from weighed group by 1""",
     ),
     "option_list_dependent": (
         RESULTS,
-        "select 0 as position, 'All' as option union all select distinct 1, kommun from results where lan = 'FRANCE'",
+        "select 0 as position, 'All' as option union all select distinct 1, kommun from results where lan = 'NATION_7'",
     ),
     "distinct_values": (RESULTS, "select distinct kommun as v from results order by 1 limit 500"),
     "latest_year_rows": (SHARE, "select * from pupils where year = (select max(year) from pupils)"),

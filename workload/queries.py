@@ -10,6 +10,7 @@ from rankmill.functions import numbers, text
 from rankmill.operators import geo, groups, lines as line_ops, quality, rank, reshape, select, trend as trend_ops
 from rankmill.operators.lines import LineFamily
 from rankmill.plans import dashboards, marts
+from rankmill.session import checkpoint
 from rankmill.sources import geo as geo_source, lines as line_source, sniff
 from workload import views
 
@@ -31,6 +32,21 @@ TRIMMED = LineFamily(boilerplate=HEADERS, columns=[*FIELDS, "saknas"], trimmed=T
 PROVIDERS = ("O", "F")
 
 
+# As in a load or a mart build, relations that are read or taken apart more than once are stored.
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(views.raw(spark, sf_dir))
+
+
+def _pupils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(views.share(spark, sf_dir))
+
+
+def _tests(spark: SparkSession, sf_dir: str, subject: str = "subject") -> DataFrame:
+    return checkpoint(views.tests(spark, sf_dir, subject))
+
+
 def register(query: Query) -> Query:
     QUERIES[query.__name__] = query
     return query
@@ -61,7 +77,7 @@ def distinct_lines(spark, sf_dir):
 
 @register
 def drop_boilerplate(spark, sf_dir):
-    return line_ops.drop_boilerplate(views.raw(spark, sf_dir), HEADERS)
+    return line_ops.drop_boilerplate(_raw(spark, sf_dir), HEADERS)
 
 
 @register
@@ -110,17 +126,17 @@ def file_status_counts(spark, sf_dir):
 
 @register
 def parse_results_lines(spark, sf_dir):
-    parsed = RESULTS.parse(views.raw(spark, sf_dir))
+    parsed = RESULTS.parse(_raw(spark, sf_dir))
     return parsed.withColumns({"andel": numbers.marked_share("andel"), "antal": numbers.marked_count("antal")})
 
 
 @register
 def parse_split_part(spark, sf_dir):
-    return TRIMMED.parse(views.raw(spark, sf_dir))
+    return TRIMMED.parse(_raw(spark, sf_dir))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RESULTS.parse(views.raw(spark, sf_dir)).select("lasar_start", "kommun_kod", "huvudman_typ", "amne", "andel", "antal")
+    return RESULTS.parse(_raw(spark, sf_dir)).select("lasar_start", "kommun_kod", "huvudman_typ", "amne", "andel", "antal")
 
 
 def _with(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
@@ -188,7 +204,7 @@ def gender_gap(spark, sf_dir):
 
 
 def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.choice(views.tests(spark, sf_dir), DIGITS)
+    return marts.choice(_tests(spark, sf_dir), DIGITS)
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +219,7 @@ def percentile_score(spark, sf_dir):
 
 @register
 def rank_marts(spark, sf_dir):
-    return marts.ranked_municipalities(views.tests(spark, sf_dir, "coarse"), DIGITS)
+    return marts.ranked_municipalities(_tests(spark, sf_dir, "coarse"), DIGITS)
 
 
 @register
@@ -220,7 +236,7 @@ def rollup_all(spark, sf_dir):
 
 @register
 def fairness(spark, sf_dir):
-    return marts.fairness(_choice(spark, sf_dir))
+    return marts.fairness(checkpoint(_choice(spark, sf_dir)))
 
 
 @register
@@ -242,12 +258,12 @@ def previous_year_any_rows(spark, sf_dir):
 
 @register
 def share_of_total(spark, sf_dir):
-    return groups.share_of_total(views.share(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
+    return groups.share_of_total(_pupils(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
 
 
 @register
 def share_recomputed(spark, sf_dir):
-    return groups.recomputed_share(views.share(spark, sf_dir), "kommun", "n_students")
+    return groups.recomputed_share(_pupils(spark, sf_dir), "kommun", "n_students")
 
 
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +332,7 @@ def option_list(spark, sf_dir):
 
 @register
 def option_list_dependent(spark, sf_dir):
-    return select.option_list(views.results(spark, sf_dir), "kommun", where={"lan": "FRANCE"})
+    return select.option_list(views.results(spark, sf_dir), "kommun", where={"lan": "NATION_7"})
 
 
 @register
@@ -326,19 +342,19 @@ def distinct_values(spark, sf_dir):
 
 @register
 def latest_year_rows(spark, sf_dir):
-    return trend_ops.at_latest(views.share(spark, sf_dir), "year")
+    return trend_ops.at_latest(_pupils(spark, sf_dir), "year")
 
 
 @register
 def top_bottom_n(spark, sf_dir):
     return select.top_and_bottom(
-        trend_ops.at_latest(views.share(spark, sf_dir), "year"), "n_students", 10, ["kommun", "huvudman_typ"]
+        trend_ops.at_latest(_pupils(spark, sf_dir), "year"), "n_students", 10, ["kommun", "huvudman_typ"]
     )
 
 
 @register
 def metric_by_year(spark, sf_dir):
-    ranked = marts.ranked_municipalities(views.tests(spark, sf_dir, "coarse"), DIGITS)
+    ranked = marts.ranked_municipalities(_tests(spark, sf_dir, "coarse"), DIGITS)
     return dashboards.ranking_map(ranked, 1998, "avg_total")
 
 
@@ -353,17 +369,17 @@ def point_lookup(spark, sf_dir):
 
 @register
 def trend_series(spark, sf_dir):
-    return dashboards.trend_series(_trend(spark, sf_dir), lan="All", digits=DIGITS)
+    return dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), lan="All", digits=DIGITS)
 
 
 @register
 def trend_series_by_provider(spark, sf_dir):
-    return dashboards.trend_series(_trend(spark, sf_dir), subject="S2", huvudman="N", digits=DIGITS)
+    return dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), subject="S2", huvudman="N", digits=DIGITS)
 
 
 @register
 def series_last_point(spark, sf_dir):
-    return trend_ops.at_latest(dashboards.trend_series(_trend(spark, sf_dir), digits=DIGITS), "year")
+    return trend_ops.at_latest(dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), digits=DIGITS), "year")
 
 
 @register
@@ -387,7 +403,7 @@ def gap_long(spark, sf_dir):
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.share_of_total(views.share(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
+    return groups.share_of_total(_pupils(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
 
 
 @register
@@ -408,7 +424,7 @@ def axis_range(spark, sf_dir):
 
 @register
 def share_trend(spark, sf_dir):
-    return dashboards.independent_share_over_time(views.share(spark, sf_dir), providers=PROVIDERS)
+    return dashboards.independent_share_over_time(_pupils(spark, sf_dir), providers=PROVIDERS)
 
 
 # ---- Wide files ----
@@ -430,7 +446,7 @@ def passrate_trend(spark, sf_dir):
 
 @register
 def passrate_by_subject(spark, sf_dir):
-    return dashboards.pass_rate_by_subject(_rates(spark, sf_dir), "huvudman_typ", "subject", ("A", "N"))
+    return dashboards.pass_rate_by_subject(checkpoint(_rates(spark, sf_dir)), "huvudman_typ", "subject", ("A", "N"))
 
 
 @register
@@ -484,5 +500,5 @@ def geo_simplify(spark, sf_dir):
 
 @register
 def expect_not_null(spark, sf_dir):
-    parsed = RESULTS.parse(views.raw(spark, sf_dir)).withColumn("andel", numbers.marked_share("andel"))
+    parsed = RESULTS.parse(_raw(spark, sf_dir)).withColumn("andel", numbers.marked_share("andel"))
     return quality.expect_not_null(parsed, "results", ["kommun", "andel", "antal", "source_file"])

@@ -13,44 +13,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their supplier and nation. The 25 nations are broadcast; for the supplier
-    Spark decides by size."""
-    items = table(spark, sf_dir, "lineitem")
-    places = table(spark, sf_dir, "supplier").join(
-        F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
+def _named(sums: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per supplier key with the supplier and its nation; the 25 nations are broadcast."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return sums.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey")
     )
-    return items.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """year x kommun x provider x subject with mean cents, in all and per line status."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-
-    def mean_of(status: str) -> Column:
-        chosen = F.col("l_linestatus") == status
-        return F.sum(F.when(chosen, cents)).cast("double") / F.nullif(F.count_if(chosen), F.lit(0).cast("bigint"))
-
-    return (
-        _supplied(spark, sf_dir)
-        .groupBy(
-            F.year("l_shipdate").alias("year"),
-            F.col("s_name").alias("kommun"),
-            F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("kommun_kod"),
-            F.col("n_name").alias("lan"),
-            F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("lan_kod"),
-            F.col("l_returnflag").alias("huvudman_typ"),
-            F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("subject"),
-        )
+    """year x kommun x provider x subject with whole mean cents, in all and per line status.
+
+    Items are aggregated by supplier key, combining on the map side, before names are joined on.
+    """
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    girls, boys = F.col("l_linestatus") == "F", F.col("l_linestatus") == "O"
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag", "l_linenumber")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(cents).alias("cents"),
-            (F.sum(cents).cast("double") / F.count(F.lit(1))).alias("total"),
-            mean_of("F").alias("f"),
-            mean_of("O").alias("m"),
+            F.sum(F.when(girls, cents)).alias("f_cents"),
+            F.count_if(girls).alias("f_n"),
+            F.sum(F.when(boys, cents)).alias("m_cents"),
+            F.count_if(boys).alias("m_n"),
         )
     )
 
+    def mean_of(total: str, n: str) -> Column:
+        # Whole cents, so that sums of them are exact in any order.
+        count = F.nullif(F.col(n), F.lit(0).cast("bigint"))
+        return (F.col(total) - F.col(total) % count).cast("double") / count
+
+    return _named(sums, spark, sf_dir).select(
+        "year",
+        F.col("s_name").alias("kommun"),
+        F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("kommun_kod"),
+        F.col("n_name").alias("lan"),
+        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("lan_kod"),
+        F.col("l_returnflag").alias("huvudman_typ"),
+        F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("subject"),
+        "n",
+        "cents",
+        mean_of("cents", "n").alias("total"),
+        mean_of("f_cents", "f_n").alias("f"),
+        mean_of("m_cents", "m_n").alias("m"),
+    )
+
 
 def tests(spark: SparkSession, sf_dir: str, subject: str = "subject") -> DataFrame:
     """Results under the column names of typed test results."""
@@ -101,16 +112,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """year x kommun x two providers with whole pupils."""
-    return (
-        _supplied(spark, sf_dir)
-        .groupBy(
-            F.year("l_shipdate").alias("year"),
-            F.col("s_name").alias("kommun"),
-            F.col("n_name").alias("lan"),
-            F.col("l_linestatus").alias("huvudman_typ"),
-        )
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_linestatus").alias("huvudman_typ"))
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("n_students"))
     )
+    return _named(sums, spark, sf_dir).select(
+        "year", F.col("s_name").alias("kommun"), F.col("n_name").alias("lan"), "huvudman_typ", "n_students"
+    )
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
