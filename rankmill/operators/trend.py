@@ -42,7 +42,7 @@ def with_previous(
     sources = list(dict.fromkeys(previous.values()))
     yearly = df.groupBy(*series, year).agg(F.max(F.struct(*sources)).alias("_row"))
     lags = yearly.select(*series, year, *[lagged(F.col("_row")[s]).alias(new) for new, s in previous.items()])
-    return join_per_key(df, lags, [*series, year], null_safe=True)
+    return join_per_key(df, lags, [*series, year], null_matches=True)
 
 
 def trend_label(current: Column | str, previous: Column | str, step: float = 2) -> Column:

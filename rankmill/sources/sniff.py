@@ -23,6 +23,7 @@ SEPARATORS = [";", ",", "\t", "|"]
 UTF8, CP1252, REPLACED = "utf-8-sig", "cp1252", "utf-8(replace)"
 
 HEAD_LINES = 60
+BLOCK_GROUPS = 256
 
 _CP1252_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 _CP1252_FROM = "".join(chr(b) for b in _CP1252_BYTES)
@@ -67,18 +68,29 @@ def _occurrences(text: Column, sep: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
 
 
+def _head(lines: DataFrame, head_lines: int) -> DataFrame:
+    """The first lines of each file with their number ``ln``, from 0.
+
+    Each row_number filter becomes a group limit, so a task passes on no more than ``head_lines``
+    lines of a group. Groups of blocks come first: the blocks of one huge file are then not all
+    compared in one task.
+    """
+    order = Window.partitionBy("source_file", "_blocks").orderBy("at")
+    few = lines.withColumn("_blocks", F.pmod(F.xxhash64("at.block"), F.lit(BLOCK_GROUPS)))
+    few = few.withColumn("ln", F.row_number().over(order)).filter(F.col("ln") <= head_lines).drop("ln", "_blocks")
+    first = few.withColumn("ln", F.row_number().over(Window.partitionBy("source_file").orderBy("at")))
+    return first.filter(F.col("ln") <= head_lines).select(
+        "source_file", "raw_line", "at", (F.col("ln") - 1).alias("ln")
+    )
+
+
 def sniff(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     """(source_file, sep, start, n_seps, header, header_at) per file.
 
     Over the first lines, the separator with the most occurrences in one line wins; the first line
-    with that many is the header; ``start`` lines precede it. The row_number filter becomes a group
-    limit, so each task passes on no more than ``head_lines`` lines of a file.
+    with that many is the header; ``start`` lines precede it.
     """
-    head = (
-        lines.withColumn("ln", F.row_number().over(Window.partitionBy("source_file").orderBy("at")))
-        .filter(F.col("ln") <= head_lines)
-        .select("source_file", "raw_line", "at", (F.col("ln") - 1).alias("ln"))
-    )
+    head = _head(lines, head_lines)
     best = head.groupBy("source_file").agg(
         *[
             F.max(

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators import groups, quality, reshape, select, trend
+from rankmill.operators.rank import with_ranks
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +157,35 @@ def test_expect_not_null(pupils):
     result = quality.expect_not_null(pupils, "pupils", ["kommun", "year"])
     assert sorted(tuple(r) for r in result.collect()) == [("pupils", "kommun", 1), ("pupils", "year", 0)]
     assert [r.column for r in quality.failing_tests(result).collect()] == ["kommun"]
+
+
+HOT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "64",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50000",
+}
+
+
+@pytest.mark.parametrize("operator", [
+    lambda df: groups.share_of_total(df, ["k"], "n"),
+    lambda df: groups.recomputed_share(df, "k", "n"),
+    lambda df: trend.with_previous(df, ["k"], "y", {"prev": "n"}),
+    lambda df: with_ranks(df, "v", [(["k"], {"c": "cume_dist"})], max_group_rows=1000),
+])
+def test_hot_keys_are_split(spark, operator):
+    """A third of the rows share one key and half of those one value: the join splits them."""
+    before = {c: spark.conf.get(c) for c in HOT}
+    for c, v in HOT.items():
+        spark.conf.set(c, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 997)
+        value = F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise((F.col("id") % 9973).cast("double"))
+        df = spark.range(0, 200_000, 1, 16).select("id", key.alias("k"), (F.col("id") % 3).alias("y"), F.lit(1).alias("n"), value.alias("v"))
+        out = operator(df)
+        assert len(out.collect()) == 200_000
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
