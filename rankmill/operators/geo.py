@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankmill.functions import rings
+from rankmill.functions.bind import let
 from rankmill.functions.text import only_digits, strip, zero_fill
 from rankmill.operators.joins import join_per_key
 from rankmill.operators.select import pick_column
@@ -67,11 +68,20 @@ def _points(geometry: Column | str) -> Column:
     return F.flatten(F.flatten(F.col(geometry) if isinstance(geometry, str) else geometry))
 
 
-def extent(geometry: Column | str) -> dict[str, Column]:
-    """Smallest and largest lon and lat."""
-    lon = F.transform(_points(geometry), lambda p: F.get(p, F.lit(0)))
-    lat = F.transform(_points(geometry), lambda p: F.get(p, F.lit(1)))
-    return {"xmin": F.array_min(lon), "ymin": F.array_min(lat), "xmax": F.array_max(lon), "ymax": F.array_max(lat)}
+def extent(geometry: Column | str) -> Column:
+    """struct(xmin, ymin, xmax, ymax)"""
+
+    def bounds(points: Column) -> Column:
+        lon = F.transform(points, lambda p: F.get(p, F.lit(0)))
+        lat = F.transform(points, lambda p: F.get(p, F.lit(1)))
+        return F.struct(
+            F.array_min(lon).alias("xmin"),
+            F.array_min(lat).alias("ymin"),
+            F.array_max(lon).alias("xmax"),
+            F.array_max(lat).alias("ymax"),
+        )
+
+    return let(_points(geometry), bounds)
 
 
 def in_box(df: DataFrame, box: Sequence[float] = BOX, geometry: str = "geometry") -> DataFrame:
@@ -81,10 +91,13 @@ def in_box(df: DataFrame, box: Sequence[float] = BOX, geometry: str = "geometry"
     altogether have their edges looked at.
     """
     xmin, ymin, xmax, ymax = (float(v) for v in box)
-    e = extent(geometry)
-    overlaps = (e["xmin"] <= xmax) & (e["xmax"] >= xmin) & (e["ymin"] <= ymax) & (e["ymax"] >= ymin)
-    within = (e["xmin"] >= xmin) & (e["xmax"] <= xmax) & (e["ymin"] >= ymin) & (e["ymax"] <= ymax)
-    return df.filter(overlaps).filter(within | _meets_box(F.col(geometry), xmin, ymin, xmax, ymax))
+
+    def meets(e: Column) -> Column:
+        apart = (e.xmin > xmax) | (e.xmax < xmin) | (e.ymin > ymax) | (e.ymax < ymin)
+        within = (e.xmin >= xmin) & (e.xmax <= xmax) & (e.ymin >= ymin) & (e.ymax <= ymax)
+        return F.when(apart, False).when(within, True).otherwise(_meets_box(F.col(geometry), xmin, ymin, xmax, ymax))
+
+    return df.filter(let(extent(geometry), meets))
 
 
 def _meets_box(geometry: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
@@ -133,8 +146,7 @@ def join_values(features: DataFrame, values: DataFrame, code: str) -> DataFrame:
 
 def with_srid(df: DataFrame, geometry: str = "geometry", srid: int = LON_LAT_SRID) -> DataFrame:
     """State that coordinates are lon/lat; raises on a coordinate that cannot be."""
-    e = extent(geometry)
-    fine = (e["xmin"] >= -180) & (e["xmax"] <= 180) & (e["ymin"] >= -90) & (e["ymax"] <= 90)
+    fine = let(extent(geometry), lambda e: (e.xmin >= -180) & (e.xmax <= 180) & (e.ymin >= -90) & (e.ymax <= 90))
     return df.withColumn("srid", F.when(~fine, F.raise_error("not lon/lat").cast("int")).otherwise(F.lit(srid)))
 
 

@@ -10,10 +10,10 @@ checkpointed with it: all later steps then agree on which line is the header.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from rankmill.functions.bind import let
 from rankmill.functions.text import file_name, is_blank
 from rankmill.operators.joins import join_per_key
 from rankmill.session import checkpoint
@@ -121,17 +121,12 @@ def sniff(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     )
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def sniff_text(text: Column, head_lines: int = HEAD_LINES) -> Column:
     """The same for a whole file held in one value: struct(sep, start, n_seps), no shuffle."""
 
     def candidate(head: Column, i: int, sep: str) -> Column:
         counts = F.transform(head, lambda line: _occurrences(line, sep))
-        return _let(
+        return let(
             counts,
             lambda c: F.struct(
                 F.array_max(c).alias("n_seps"),
@@ -144,8 +139,8 @@ def sniff_text(text: Column, head_lines: int = HEAD_LINES) -> Column:
     def best(head: Column) -> Column:
         return F.greatest(*[candidate(head, i, sep) for i, sep in enumerate(SEPARATORS)])
 
-    head = F.slice(F.split(text, "\n"), 1, head_lines)
-    return _let(_let(head, best), lambda b: F.struct(b.sep.alias("sep"), b.start.alias("start"), b.n_seps.alias("n_seps")))
+    head = F.slice(F.split(text, "\n", head_lines + 1), 1, head_lines)
+    return let(let(head, best), lambda b: F.struct(b.sep.alias("sep"), b.start.alias("start"), b.n_seps.alias("n_seps")))
 
 
 def _split(line: Column, sep: Column) -> Column:
@@ -159,37 +154,63 @@ def _split(line: Column, sep: Column) -> Column:
 
 def split_by(line: Column, sep: Column) -> Column:
     """Fields of a line under the separator in a column; pairs of quotes may enclose separators."""
-    parts = F.split(line, '"')
 
-    def hide(part: Column, i: Column) -> Column:
-        enclosed = (i % 2 == 1) & (i < F.size(parts) - 1)
-        return F.when(enclosed, F.replace(part, sep, F.lit("\x01"))).otherwise(part)
+    def hidden(parts: Column) -> Column:
+        def hide(part: Column, i: Column) -> Column:
+            enclosed = (i % 2 == 1) & (i < F.size(parts) - 1)
+            return F.when(enclosed, F.replace(part, sep, F.lit("\x01"))).otherwise(part)
+
+        return F.array_join(F.transform(parts, hide), '"')
 
     def show(f: Column) -> Column:
         inner = F.when(f.rlike('^"(?s).*"$'), F.substr(f, F.lit(2), F.length(f) - 2)).otherwise(f)
         return F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit("\x01"), sep)
 
-    quoted = F.transform(_split(F.array_join(F.transform(parts, hide), '"'), sep), show)
+    quoted = let(let(F.split(line, '"'), hidden), lambda text: F.transform(_split(text, sep), show))
     return F.when(line.contains('"'), quoted).otherwise(_split(line, sep))
 
 
+def _sniffed_text(df: DataFrame, file: str, text: str, head_lines: int) -> DataFrame:
+    sniffed = df.select(
+        F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s")
+    )
+    return sniffed.select(
+        file,
+        F.col("_s.sep").alias("_sep"),
+        F.col("_s.start").alias("_start"),
+        F.col("_s.n_seps").alias("_n_seps"),
+        F.get("_lines", F.col("_s.start")).alias("header"),
+        F.slice("_lines", F.col("_s.start") + 2, F.size("_lines")).alias("_body"),
+    )
+
+
 def text_rows(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
     """(file, ln, header, raw_line, fields) of whole files held in a text column, without a shuffle."""
-    sniffed = df.select(F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s"))
-    body = sniffed.select(
-        file, F.col("_s.sep").alias("_sep"), F.col("_s.start").alias("_start"),
-        F.get("_lines", F.col("_s.start")).alias("header"), F.posexplode("_lines").alias("ln", "raw_line"),
-    ).filter((F.col("ln") > F.col("_start")) & ~is_blank("raw_line"))
-    return body.select(file, "ln", "header", "raw_line", split_by(F.col("raw_line"), F.col("_sep")).alias("fields"))
+    # The outer form, whose extra row is dropped as blank, spares the optimizer's test of the list's
+    # size below the projection, which would sniff the text a second time.
+    body = _sniffed_text(df, file, text, head_lines).select(
+        file, "_sep", "_start", "header", F.posexplode_outer("_body").alias("_pos", "raw_line")
+    )
+    return body.filter(~is_blank("raw_line")).select(
+        file,
+        (F.col("_start") + F.col("_pos") + 1).alias("ln"),
+        "header",
+        "raw_line",
+        split_by(F.col("raw_line"), F.col("_sep")).alias("fields"),
+    )
 
 
 def text_status(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
     """(file, status, reason, n_rows) of whole files held in a text column, without a shuffle."""
-    sniffed = df.select(F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s"))
-    body = F.filter("_lines", lambda line, i: (i > F.col("_s.start")) & ~is_blank(line))
-    wide = F.exists("_body", lambda line: F.size(split_by(line, F.col("_s.sep"))) > F.col("_s.n_seps") + 1)
-    return sniffed.withColumn("_body", body).select(
-        file, *_status(wide), F.size("_body").cast("bigint").alias("n_rows")
+    sniffed = _sniffed_text(df, file, text, head_lines)
+
+    def checked(body: Column) -> Column:
+        wide = F.exists(body, lambda line: F.size(split_by(line, F.col("_sep"))) > F.col("_n_seps") + 1)
+        return F.struct(wide.alias("wide"), F.size(body).cast("bigint").alias("n_rows"))
+
+    body = F.filter("_body", lambda line: ~is_blank(line))
+    return sniffed.select(file, let(body, checked).alias("_c")).select(
+        file, *_status(F.col("_c.wide")), F.col("_c.n_rows").alias("n_rows")
     )
 
 
