@@ -2,7 +2,8 @@
 
 Lenient readers give NULL for anything that is not a number, strict readers raise. Both take
 plain, decimal and exponent notation and ``_`` between digits; integers round half away from
-zero. Spark-only spellings such as ``12d`` and the words ``inf`` and ``nan`` are not numbers here.
+zero. Spark-only spellings such as ``12d``, the words ``inf`` and ``nan``, and odd spellings such
+as ``+-5`` or ``1e5_2`` are not numbers here.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rankmill.functions.numbers import count_value
 from rankmill.functions.text import normal_category, normal_year, pad_code
@@ -203,12 +203,16 @@ def weighted_long(
 
 @dataclass(frozen=True)
 class Relation:
-    """A named relation: what it reads, how it is made, and whether it is worth keeping as a table."""
+    """A named relation: what it reads, how it is made, whether it is worth keeping as a table.
+
+    ``partition`` is the column the table is laid out by, so that a query on one value reads no more.
+    """
 
     inputs: tuple[str, ...]
     make: Callable[..., DataFrame]
     table: bool = True
     not_null: tuple[str, ...] = ()
+    partition: str | None = None
 
 
 def _lines(raw: DataFrame) -> DataFrame:
@@ -228,13 +232,13 @@ RELATIONS: dict[str, Relation] = {
     "stg_personalstatistik_typed": Relation(("stg_personalstatistik",), families.typed_staff, False),
     "int_behorighet_2024_25_lines": Relation(("raw_data",), families.eligible_lines),
     "stg_behorighet_2024_25": Relation(("int_behorighet_2024_25_lines",), families.typed_eligible, False),
-    "mart_nationella_prov_ak9": Relation(("stg_nationella_prov_ak9_typed",), test_results),
-    "mart_ranked_kommun_ak9": Relation(("stg_nationella_prov_ak9_typed",), ranked_municipalities),
-    "mart_parent_choice_ak9": Relation(("stg_nationella_prov_ak9_typed",), choice),
-    "mart_parent_fairness_ak9": Relation(("mart_parent_choice_ak9",), fairness),
-    "mart_parent_trend_ak9": Relation(("mart_parent_choice_ak9",), trend),
-    "mart_parent_choice_ak1_9": Relation(("stg_antal_elever_per_arskurs",), school_choice),
-    "mart_budget_per_elev_kommun": Relation(("stg_kostnader_per_kommun_typed",), budget),
+    "mart_nationella_prov_ak9": Relation(("stg_nationella_prov_ak9_typed",), test_results, partition="lasar_start"),
+    "mart_ranked_kommun_ak9": Relation(("stg_nationella_prov_ak9_typed",), ranked_municipalities, partition="lasar_start"),
+    "mart_parent_choice_ak9": Relation(("stg_nationella_prov_ak9_typed",), choice, partition="year"),
+    "mart_parent_fairness_ak9": Relation(("mart_parent_choice_ak9",), fairness, partition="year"),
+    "mart_parent_trend_ak9": Relation(("mart_parent_choice_ak9",), trend, partition="year"),
+    "mart_parent_choice_ak1_9": Relation(("stg_antal_elever_per_arskurs",), school_choice, partition="year"),
+    "mart_budget_per_elev_kommun": Relation(("stg_kostnader_per_kommun_typed",), budget, partition="lasar_start"),
     "mart_budget_per_elev_kommun_latest": Relation(("mart_budget_per_elev_kommun",), latest_budget),
     "mart_behorighet_national_gender_2024_25": Relation(("stg_behorighet_2024_25",), eligibility_by_gender),
     "slv_cleaned_data": Relation(("stg_raw_data",), with_url, True, ("source_file", "statistik_text")),
@@ -243,7 +247,7 @@ RELATIONS: dict[str, Relation] = {
 
 
 def build(
-    spark: SparkSession, raw_data: DataFrame, names: Sequence[str] | None = None, store: str | None = None
+    raw_data: DataFrame, names: Sequence[str] | None = None, store: str | None = None
 ) -> dict[str, DataFrame]:
     """The named relations (default: all) and what they need, made from raw lines.
 
@@ -257,15 +261,22 @@ def build(
             relation = RELATIONS[name]
             df = relation.make(*[get(i) for i in relation.inputs])
             if store is not None and relation.table:
-                path = f"{store}/{name}"
-                df.write.mode("overwrite").parquet(path)
-                df = spark.read.parquet(path)
+                df = _stored(df, f"{store}/{name}", relation.partition)
             made[name] = df
         return made[name]
 
     return {name: get(name) for name in (names or RELATIONS)}
 
 
+def _stored(df: DataFrame, path: str, partition: str | None) -> DataFrame:
+    """Write and read back. Rebalancing gives each partition value few files, and a large one several tasks."""
+    if partition is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        df.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def data_tests(relations: dict[str, DataFrame]) -> DataFrame | None:
     """Results of the not-NULL tests of the relations at hand as (relation, column, failures)."""
     out = None

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankmill.functions.numbers import share_value
 from rankmill.operators import groups, quality, reshape, select, trend
 from rankmill.operators.rank import with_ranks
 
@@ -128,6 +129,11 @@ def test_lookup_and_missing(spark):
     assert select.not_missing(df, ["v"]).count() == 2 and select.not_missing(df, ["v"], empty_too=True).count() == 1
 
 
+def test_numeric_rows(spark, rows):
+    df = spark.createDataFrame([("a", "1,5"), ("b", "x"), ("c", None)], "k string, v string")
+    assert rows(select.numeric_rows(df, "v", share_value)) == [("a", 1.5)]
+
+
 def test_column_choice(spark):
     columns = ["Kommun", "Läsår", "id"]
     assert select.pick_column(columns, ["kommun"]) == "Kommun"
