@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rankmill.llm import secrets, shards
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
+from rankmill.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,3 +41,8 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ _SPAN_KINDS = {
 def _secret_kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
     return f"""
     select doc_id, {order} as kind_order, '{kind}' as kind, w.i,
-           list_sum(list_transform(gaps[1:w.i], x -> length(x))) + coalesce(list_sum(list_transform(wholes[1:w.i - 1], x -> length(x))), 0) as start_at,
+           list_sum(list_transform(gaps[1:w.i], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:w.i - 1], lambda x: length(x))), 0) as start_at,
            length(wholes[w.i]) as n, length(helds[w.i]) as held, {least} as least
     from (select doc_id, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as wholes,
                  regexp_extract_all(text, '{pattern}', {group}) as helds
