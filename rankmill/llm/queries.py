@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankmill.llm import secrets, shards
+from rankmill.llm import bpe, secrets, shards
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
@@ -46,3 +47,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def byte_bpe() -> bpe.Encoding:
+    return bpe.load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@registered
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary has no tokens but those of its file."""
+    encoding = byte_bpe()
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), encoding), encoding)
+    n = (F.octet_length("ids_bytes") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
