@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankmill.llm import bpe, secrets, shards
+from rankmill.llm import bpe, secrets, shards, toxicity
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
@@ -60,3 +60,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), encoding), encoding)
     n = (F.octet_length("ids_bytes") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
