@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankmill.llm import bpe, decontaminate, secrets, shards, toxicity
+from rankmill.llm import bpe, decontaminate, pseudonyms, secrets, shards, toxicity
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.suffix_dedup import without_repeats
+from rankmill.llm.url_rules import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,3 +82,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@registered
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@registered
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a fixed key, so that runs can be compared; users pass a secret one."""
+    done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"not a secret")
+    spans = F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return done.select("doc_id", F.size("pii_spans").cast("long").alias("n_found"), F.concat_ws(",", spans).alias("spans"), "text")
