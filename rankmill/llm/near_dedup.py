@@ -7,11 +7,14 @@ are compared 32 minima at a time: under a uniform prior, the posterior after m m
 Beta(m + 1, n - m + 1), and a pair goes as soon as the probability that it reaches the threshold is
 below ``MISS``. Survivors are compared on their whole shingle sets.
 
-A bucket's members are not paired with each other. They are first compared with one member, then with
-another one; the links found are contracted to components, and only members of different components
-are left to be compared in the last step, where each is compared with the bucket's members outside
-its component. No link between components is lost, for every candidate pair either lies within one
-component or is compared; sizes that can't reach the threshold are left out before.
+A bucket's members are not paired with each other. In the buckets of one band, then of more bands,
+they are compared with one member; the links found are contracted to components after each turn, and
+later turns compare only members of different components. The last step takes the buckets that still
+hold several components. Pairs at the threshold share a shingle among the rarest quarter of each
+one's set, so each member's rarest shingles are its buckets now: what crowds hold in common plays no
+part, and what is outside a bucket's largest component is compared with each member of another one. No link
+between components is lost, for every candidate pair either lies within one component or is compared;
+sizes that can't reach the threshold are left out before.
 
 Defined results: a missing or empty text has no shingles and is linked with nothing; a text of fewer
 words is one shingle. A row without key has no component and is kept. Rows that repeat a key are
@@ -27,6 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from rankmill.llm.common import stored
 from rankmill.llm.components import components
@@ -35,7 +39,7 @@ from rankmill.llm.shingles import MinHasher, Shingler, digest, raw_texts
 SIMILARITY = 75  # per cent
 BANDS, ROWS, BATCH = 32, 4, 32
 MISS = 1e-7  # probability at which a candidate is given up
-STARS = 2  # rounds in which a bucket's members are compared with one of them
+TURNS = (1, 4, BANDS)  # bands in whose buckets each turn compares all members with one of them
 
 FEATURES = "key long, n_shingles long, digest binary, signature binary"
 
@@ -63,6 +67,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([digest(hashes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], ["key", "digest", "hashes"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, hashes in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+            own = np.frombuffer(hashes.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "bucket"])
+
+
 def least_matches(n: int, similarity: float, miss: float) -> int:
     """Fewest matches of ``n`` at which the posterior probability of reaching ``similarity`` is ``miss`` or more."""
     below = 0.0
@@ -115,16 +126,19 @@ class _Links:
         self.labels = components(self.links)
 
     def labelled(self, members: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return members.withColumn("label", F.col("node"))
         labels = self.labels.withColumnRenamed("node", "__node")
         joined = members.join(labels, F.col("node").eqNullSafe(F.col("__node")), "left")
         return joined.select(*members.columns, F.coalesce("component", "node").alias("label"))
 
 
-def _pair(members: DataFrame, other: DataFrame, others_label: str) -> DataFrame:
-    """Pairs (a < b) of members and the node ``other`` of their bucket that may still be linked."""
+def _pair(members: DataFrame, other: DataFrame, more=None) -> DataFrame:
+    """Pairs (a < b) of members and the ``other`` ones of their bucket that may still be linked."""
     n, m = F.col("n"), F.col("other_n")
-    possible = (F.col("node") != F.col("other")) & (F.col("label") != F.col(others_label)) & (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m))
-    return members.join(other, "bucket").filter(possible).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    possible = (F.col("node") != F.col("other")) & (F.col("label") != F.col("other_label")) & (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m))
+    found = members.join(other, "bucket").filter(possible if more is None else possible & more)
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
@@ -132,15 +146,34 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
     order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
     first = F.struct(order.alias("order"), "node", "n", "label")
     one = members.groupBy("bucket").agg(F.min(first).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    return _pair(members, one.select("bucket", F.col("one.node").alias("other"), F.col("one.n").alias("other_n"), F.col("one.label").alias("other_label")), "other_label")
+    return _pair(members, one.select("bucket", F.col("one.node").alias("other"), F.col("one.n").alias("other_n"), F.col("one.label").alias("other_label")))
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of different components within a bucket: its members outside its largest component, with every member."""
+    """All pairs of different components that share a rare shingle early enough to be similar.
+
+    A bucket's members outside its largest component are joined with every member. With a shared
+    shingle at places i and j of the sets in order of rarity, and none before it, the sets share at
+    most 1 + min(n - i, m - j) shingles.
+    """
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    outside = members.join(largest.select("bucket", "top.label").withColumnRenamed("label", "top"), "bucket").filter("label != top")
-    return _pair(members, outside.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label")), "other_label")
+    outside = members.join(largest.select("bucket", F.col("top.label").alias("top")), "bucket").filter("label != top")
+    other = outside.select("bucket", *[F.col(c).alias(to) for c, to in (("node", "other"), ("n", "other_n"), ("label", "other_label"), ("place", "other_place"))])
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    return _pair(members, other, (100 + SIMILARITY) * most >= SIMILARITY * (F.col("n") + F.col("other_n")))
+
+
+def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets with several components, once for each of their rarest shingles that another one holds."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(F.col("bucket").alias("__bucket"))
+    left = stored(members.join(mixed, F.col("bucket").eqNullSafe(F.col("__bucket")), "left_semi").select("node", "n", "label").distinct())
+    held = stored(sets.join(left.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, bucket long"))
+    counts = held.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("holders"))
+    counted = held.join(counts, F.col("bucket").eqNullSafe(F.col("__bucket"))).drop("__bucket").join(left, "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "bucket"))
+    need = F.ceil(F.col("n") * SIMILARITY / 100)
+    return counted.withColumn("place", place).filter((F.col("place") <= F.col("n") - need + 1) & (F.col("holders") > 1)).select("bucket", "node", "n", "label", "place")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,19 +183,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = rows.filter("n_shingles > 0 and key is not null")
     classes = named.groupBy("digest").agg(F.min("key").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     facts = stored(classes)
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
-    banded = facts.select("node", "n", F.explode(bands).alias("bucket"))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
+    banded = facts.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("bucket").alias("__bucket"))
-    members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("bucket", "node", "n"))
+    members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("band", "bucket", "node", "n"))
     # the sets of those that share a bucket; of known size, so that Catalyst may broadcast the names
     wanted = stored(members.select("node").distinct().join(facts.select("node", "digest"), "node"))
     sets = narrow.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(_sets, "node long, digest binary, hashes binary")
     sets = stored(sets.join(wanted, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "hashes"))
     links = _Links(facts, sets)
-    links.add(_star(members.withColumn("label", F.col("node")), 0))
-    for turn in range(1, STARS):
-        links.add(_star(links.labelled(members), turn))
-    links.add(_rest(stored(links.labelled(members))))
+    for turn, bands in enumerate(TURNS):
+        links.add(_star(links.labelled(members.filter(F.col("band") < bands)), turn))
+    links.add(_rest(stored(_rarest(stored(links.labelled(members)), sets))))
     ends = facts.select("digest", F.col("node")).transform(links.labelled).select(F.col("digest").alias("__digest"), "label")
     joined = rows.join(ends, F.col("digest").eqNullSafe(F.col("__digest")), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).otherwise(F.col("key"))
