@@ -1,17 +1,15 @@
 """Ranks inside groups of any size.
 
-A window over (group) ordered by (value) sorts each group in a single task. That is the cheapest
-plan while the largest group is known to be small, and fails once one group holds a large part of
-the data. So the largest group is measured first, and beyond a limit the ranks are taken without
-ever holding a group in one task: all ranking functions only depend on how many rows, and how many
-distinct values, lie up to a value. The rows are counted per (group, value), which combines on the
-map side; the counts are range-partitioned by (group, value), so that a big group
-is spread over many partitions; running counts are taken inside each partition's share of a group,
-and the totals of its earlier partitions are added. The result, one row per (group, value), is
-joined back to the rows.
+A window over (group) ordered by (value) sorts each group in a single task, and fails once one group
+holds a large part of the data. All ranking functions only depend on how many rows, and how many
+distinct values, lie up to a value. So the rows are counted per (group, value), which combines on the
+map side; the counts are range-partitioned by (group, value), so that a big group is spread over many
+partitions; running counts are taken inside each partition's share of a group, and the totals of its
+earlier partitions are added. The result, one row per (group, value), is joined back to the rows.
 
 The range-partitioned counts are checkpointed with their partition number, so every later step,
-and every recomputation after a lost executor, sees the same partitions.
+and every recomputation after a lost executor, sees the same partitions. This is the only job that
+runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -22,9 +20,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankmill.session import checkpoint
 
-# A task can sort this many rows of one group; larger groups are split.
-MAX_GROUP_ROWS = 1_000_000
-
 Scopes = Sequence[tuple[Sequence[str], Mapping[str, str]]]
 
 
@@ -105,36 +100,16 @@ def _rank_columns(value: str) -> dict[str, Column]:
     }
 
 
-def _largest_group(df: DataFrame, scopes: Scopes) -> int:
-    """Rows of the largest group in any scope: counts combine on the map side, one number comes back."""
-    key_sets = [set(by) for by, _ in scopes]
-    # Groups of a finer scope are parts of the coarser scope's groups.
-    coarsest = [by for by, _ in scopes if not any(other < set(by) for other in key_sets)]
-    sizes = [
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-        for by in coarsest
-    ]
-    return max(size.first().n for size in sizes)
-
-
-def _window_ranks(df: DataFrame, value: str, scopes: Scopes) -> DataFrame:
-    for by, wanted in scopes:
-        group = Window.partitionBy(*by)
-        up, down = group.orderBy(F.col(value).asc_nulls_last()), group.orderBy(F.col(value).desc_nulls_last())
-        kinds = {
-            "cume_dist": F.cume_dist().over(up),
-            "percent_rank": F.percent_rank().over(up),
-            "rank": F.rank().over(up).cast("bigint"),
-            "dense_rank": F.dense_rank().over(up).cast("bigint"),
-            "dense_rank_desc": F.dense_rank().over(down).cast("bigint"),
-            "count": F.count(F.lit(1)).over(group),
-            "max": F.max(value).over(group),
-        }
-        df = df.withColumns({name: kinds[kind] for name, kind in wanted.items()})
-    return df
+def with_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | None = None) -> DataFrame:
+    """Rank ``value`` in one or more group scopes and add the results to the rows.
 
+    ``scopes`` pairs group columns with {new column: kind}; kinds are ``cume_dist``,
+    ``percent_rank``, ``rank``, ``dense_rank``, ``dense_rank_desc``, ``count`` and ``max``. Values
+    ascend, NULL comes last in both directions, NULL group columns form a group of their own.
 
-def _split_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | None) -> DataFrame:
+    The rows are read twice, for the counts and for the result: pass a table when they are costly to
+    make. ``partitions`` overrides the number of ranges.
+    """
     keys = list(dict.fromkeys(k for by, _ in scopes for k in by))
     types = {k: df.schema[k].dataType.simpleString() for k in keys}
     groups = [_group_key(i, keys, by, types) for i, (by, _) in enumerate(scopes)]
@@ -150,27 +125,6 @@ def _split_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | No
     return df
 
 
-def with_ranks(
-    df: DataFrame,
-    value: str,
-    scopes: Scopes,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Rank ``value`` in one or more group scopes and add the results to the rows.
-
-    ``scopes`` pairs group columns with {new column: kind}; kinds are ``cume_dist``,
-    ``percent_rank``, ``rank``, ``dense_rank``, ``dense_rank_desc``, ``count`` and ``max``. Values
-    ascend, NULL comes last in both directions, NULL group columns form a group of their own.
-
-    The rows are read more than once, first to measure the groups: pass a table or a checkpoint
-    when they are costly to make. ``partitions`` overrides the number of ranges for split groups.
-    """
-    if _largest_group(df, scopes) <= max_group_rows:
-        return _window_ranks(df, value, scopes)
-    return _split_ranks(df, value, scopes, partitions)
-
-
 def percent_score(cume_dist: Column | str) -> Column:
     """Percentile score 0 to 100 with one decimal."""
     c = F.col(cume_dist) if isinstance(cume_dist, str) else cume_dist

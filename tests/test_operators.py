@@ -178,7 +178,7 @@ HOT = {
     lambda df: groups.share_of_total(df, ["k"], "n"),
     lambda df: groups.recomputed_share(df, "k", "n"),
     lambda df: trend.with_previous(df, ["k"], "y", {"prev": "n"}),
-    lambda df: with_ranks(df, "v", [(["k"], {"c": "cume_dist"})], max_group_rows=1000),
+    lambda df: with_ranks(df, "v", [(["k"], {"c": "cume_dist"})]),
 ])
 def test_hot_keys_are_split(spark, operator):
     """A third of the rows share one key and half of those one value: the join splits them."""

@@ -41,27 +41,20 @@ SCOPES = [
 
 @pytest.mark.parametrize("partitions", [None, 1, 5, 64])
 def test_split_groups_rank_like_windows(frame, rows, partitions):
-    ranked = with_ranks(frame, "v", SCOPES, max_group_rows=10, partitions=partitions)
+    ranked = with_ranks(frame, "v", SCOPES, partitions=partitions)
     assert ranked.count() == frame.count()
     assert rows(ranked) == rows(plain(frame))
 
 
-def test_small_groups_take_a_window(frame, rows):
-    ranked = with_ranks(frame, "v", SCOPES)
-    assert rows(ranked) == rows(plain(frame))
-    assert "Join" not in ranked._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("limit", [0, 100])
-def test_empty_and_single(spark, rows, limit):
+def test_empty_and_single(spark, rows):
     empty = spark.sql("select 1 as g, 2.0D as v where false")
-    assert with_ranks(empty, "v", [(["g"], {"c": "cume_dist"})], limit).count() == 0
+    assert with_ranks(empty, "v", [(["g"], {"c": "cume_dist"})]).count() == 0
     one = spark.sql("select 1 as g, 2.0D as v")
-    assert rows(with_ranks(one, "v", [(["g"], {"c": "cume_dist", "p": "percent_rank"})], limit)) == [(1.0, 1, 0.0, 2.0)]
+    assert rows(with_ranks(one, "v", [(["g"], {"c": "cume_dist", "p": "percent_rank"})])) == [(1.0, 1, 0.0, 2.0)]
 
 
 def test_only_parts_of_groups_are_sorted(frame):
-    plan = with_ranks(frame, "v", SCOPES, max_group_rows=10)._jdf.queryExecution().executedPlan().toString()
+    plan = with_ranks(frame, "v", SCOPES)._jdf.queryExecution().executedPlan().toString()
     sorted_rows = [line for line in plan.splitlines() if "Window [" in line and "sum(_n" in line]
     assert sorted_rows and all("[_group" in line and "_part#" in line for line in sorted_rows)
 
