@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from rankmill.functions.text import trim_spaces
+
 NBSP = "\u00a0"
 
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
@@ -83,6 +85,6 @@ def strict_count(c: Column | str, to: str = "int") -> Column:
     """Count with spaces or no-break spaces; ``..``, ``.`` and empty are withheld."""
     c = _col(c)
     return (
-        F.when(F.trim(c).isin("..", ".", ""), F.lit(None).cast(to))
+        F.when(trim_spaces(c).isin("..", ".", ""), F.lit(None).cast(to))
         .otherwise(_or_raise(lenient_int(drop_spaces(c), to), c, to))
     )

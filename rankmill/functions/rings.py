@@ -50,7 +50,8 @@ def kept_points(points: np.ndarray, starts: np.ndarray, tolerance: float) -> np.
         keep[middle[far]] = True
         spans = np.concatenate([a[far], middle[far]]), np.concatenate([middle[far], b[far]])
     # A ring that fell to three points (start, turn, start) gets its widest remaining point back.
-    flat = np.array([keep[f : l + 1].sum() < 4 for f, l in zip(first, last)])
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    flat = upto[last + 1] - upto[first] < 4
     for ring in np.flatnonzero(flat):
         candidates = [p for p in spare[:, ring] if p >= 0]
         base = points[turn[ring]] - points[first[ring]]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +36,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that lost executors cost nothing.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting falls back to a temporary folder.
+    session without that setting falls back to a temporary folder, removed when the process ends.
+    """
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read back.
+
+    Columnar, compressed and of known size, so that later reads prune columns and Catalyst may
+    broadcast what turns out small. The table is removed when the driver's process ends.
     """
     spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # the session has gone already
+        return
+    try:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the gateway may be closing; the cluster cleans its checkpoint folder
+        pass
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,5 +74,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()

@@ -18,11 +18,18 @@ _FEATURE = "struct<id:string, properties:map<string,string>, geometry:struct<typ
 def _multi_polygon(geometry: Column) -> Column:
     many = F.from_json(geometry["coordinates"], GEOMETRY)
     one = F.array(F.from_json(geometry["coordinates"], "array<array<array<double>>>"))
-    return F.when(geometry["type"] == "Polygon", one).when(geometry["type"] == "MultiPolygon", many)
+    other = F.raise_error(F.concat(F.lit("not a polygon: "), geometry["type"])).cast(GEOMETRY)
+    none = F.lit(None).cast(GEOMETRY)
+    return (
+        F.when(geometry["type"].isNull(), none)
+        .when(geometry["type"] == "Polygon", one)
+        .when(geometry["type"] == "MultiPolygon", many)
+        .otherwise(other)
+    )
 
 
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str], collection: bool = True) -> DataFrame:
-    """Named properties (as text) and geometry of each feature.
+    """Named properties (as text) and geometry of each feature; a geometry of another kind is an error.
 
     A FeatureCollection is one JSON document and so one task; with ``collection=False`` the file
     holds one feature per line, as written below, and splits like any text.
@@ -38,10 +45,12 @@ def read_geojson(spark: SparkSession, path: str, properties: Sequence[str], coll
 
 
 def geojson_properties(spark: SparkSession, path: str) -> list[str]:
-    """Property names of a FeatureCollection, in the order of the first feature."""
+    """Names of all properties of a FeatureCollection, in the order in which features first have them."""
     document = spark.read.schema(f"features array<{_FEATURE}>").json(path, multiLine=True)
-    first = document.select(F.map_keys(F.get("features", F.lit(0))["properties"])).first()
-    return list(first[0]) if first and first[0] else []
+    features = document.select(F.posexplode("features").alias("feature", "f"))
+    names = features.select("feature", F.posexplode(F.map_keys("f.properties")).alias("place", "name"))
+    first = names.groupBy("name").agg(F.min(F.struct("feature", "place")).alias("first")).orderBy("first")
+    return [row.name for row in first.collect()]
 
 
 def read_features(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankmill.functions.text import file_name, is_blank
@@ -34,18 +36,36 @@ def latest_load(loads: DataFrame, load_id: str = "load_id") -> DataFrame:
     return loads.filter(F.col(load_id) == loads.agg(F.max(load_id)).scalar())
 
 
+def _partitions(names: list[str], load_id: str = "load_id") -> dict[str, str]:
+    """Load id, with escapes undone, to the partition's name; in load order."""
+    pairs = (name.split("=", 1) for name in names if "=" in name)
+    return dict(sorted((unquote(value), f"{key}={value}") for key, value in pairs if key == load_id))
+
+
+def load_folders(spark: SparkSession, store: str) -> dict[str, str]:
+    """Load ids of a store and their folders, from one listing of the store's folder; no file is opened."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(store)
+    listed = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+    return _partitions([entry.getPath().getName() for entry in listed if entry.isDirectory()])
+
+
 def read_latest_load(spark: SparkSession, store: str) -> DataFrame:
-    """Newest load of a store. The id is looked up first (one value, from the partition names), so
-    the scan itself only lists and reads that load's files."""
-    loads = read_loads(spark, store)
-    newest = loads.agg(F.max("load_id")).first()[0]
-    return loads.filter(F.col("load_id") == F.lit(newest))
+    """Newest load of a store. Its id comes from the names of the store's folders; files of older
+    loads are neither listed nor read."""
+    folders = load_folders(spark, store)
+    if not folders:
+        raise ValueError(f"no load in {store}")
+    newest = list(folders)[-1]
+    lines = spark.read.schema("raw_line string, source_file string").parquet(f"{store.rstrip('/')}/{folders[newest]}")
+    return lines.withColumn("load_id", F.lit(newest))
 
 
 def drop_older_loads(spark: SparkSession, table: str, load_id: str = "load_id") -> int:
     """Delete all but the newest load from a table partitioned by load id; returns how many went."""
-    specs = [row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    ids = sorted(spec.split("=", 1)[1] for spec in specs)
-    for old in ids[:-1]:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({load_id} = '{old}')")
-    return len(ids[:-1])
+    loads = _partitions([row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()], load_id)
+    old = list(loads)[:-1]
+    for name in old:
+        value = name.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} DROP PARTITION ({load_id} = '{value}')")
+    return len(old)

@@ -3,8 +3,8 @@
 Files are read as lines, so a big file is spread over tasks like any other. Only facts about a
 file (encoding, separator, header) are aggregated to one row per file and joined back.
 
-A line's place in its file is known only while the file is scanned, so the scanned lines are
-checkpointed with it: all later steps then agree on which line is the header.
+A line's place in its file is known only while the file is scanned, so the scanned lines are stored
+with it, by columns: all later steps then agree on which line is the header.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rankmill.functions.bind import let
 from rankmill.functions.text import file_name, is_blank
 from rankmill.operators.joins import join_per_key
-from rankmill.session import checkpoint
+from rankmill.session import stored
 
 # Candidate separators, first wins ties; encodings in the order they are tried.
 SEPARATORS = [";", ",", "\t", "|"]
@@ -47,7 +47,7 @@ def read_numbered_lines(spark: SparkSession, path: str, glob: str = "*.csv") ->
     invalid bytes replaced.
     """
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = checkpoint(
+    lines = stored(
         spark.read.option("pathGlobFilter", glob)
         .text(path)
         .select("value", file_name().alias("source_file"), at.alias("at"))
@@ -121,28 +121,6 @@ def sniff(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
     )
 
 
-def sniff_text(text: Column, head_lines: int = HEAD_LINES) -> Column:
-    """The same for a whole file held in one value: struct(sep, start, n_seps), no shuffle."""
-
-    def candidate(head: Column, i: int, sep: str) -> Column:
-        counts = F.transform(head, lambda line: _occurrences(line, sep))
-        return let(
-            counts,
-            lambda c: F.struct(
-                F.array_max(c).alias("n_seps"),
-                F.lit(-i).alias("rank"),
-                F.lit(sep).alias("sep"),
-                (F.array_position(c, F.array_max(c)) - 1).cast("int").alias("start"),
-            ),
-        )
-
-    def best(head: Column) -> Column:
-        return F.greatest(*[candidate(head, i, sep) for i, sep in enumerate(SEPARATORS)])
-
-    head = F.slice(F.split(text, "\n", head_lines + 1), 1, head_lines)
-    return let(let(head, best), lambda b: F.struct(b.sep.alias("sep"), b.start.alias("start"), b.n_seps.alias("n_seps")))
-
-
 def _split(line: Column, sep: Column) -> Column:
     """Split under the separator in a column, with one fixed pattern per candidate."""
     out = None
@@ -170,59 +148,8 @@ def split_by(line: Column, sep: Column) -> Column:
     return F.when(line.contains('"'), quoted).otherwise(_split(line, sep))
 
 
-def _sniffed_text(df: DataFrame, file: str, text: str, head_lines: int) -> DataFrame:
-    sniffed = df.select(
-        F.col(file), F.split(text, "\n").alias("_lines"), sniff_text(F.col(text), head_lines).alias("_s")
-    )
-    return sniffed.select(
-        file,
-        F.col("_s.sep").alias("_sep"),
-        F.col("_s.start").alias("_start"),
-        F.col("_s.n_seps").alias("_n_seps"),
-        F.get("_lines", F.col("_s.start")).alias("header"),
-        F.slice("_lines", F.col("_s.start") + 2, F.size("_lines")).alias("_body"),
-    )
-
-
-def text_rows(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
-    """(file, ln, header, raw_line, fields) of whole files held in a text column, without a shuffle."""
-    # The outer form, whose extra row is dropped as blank, spares the optimizer's test of the list's
-    # size below the projection, which would sniff the text a second time.
-    body = _sniffed_text(df, file, text, head_lines).select(
-        file, "_sep", "_start", "header", F.posexplode_outer("_body").alias("_pos", "raw_line")
-    )
-    return body.filter(~is_blank("raw_line")).select(
-        file,
-        (F.col("_start") + F.col("_pos") + 1).alias("ln"),
-        "header",
-        "raw_line",
-        split_by(F.col("raw_line"), F.col("_sep")).alias("fields"),
-    )
-
-
-def text_status(df: DataFrame, file: str, text: str, head_lines: int = HEAD_LINES) -> DataFrame:
-    """(file, status, reason, n_rows) of whole files held in a text column, without a shuffle."""
-    sniffed = _sniffed_text(df, file, text, head_lines)
-
-    def checked(body: Column) -> Column:
-        wide = F.exists(body, lambda line: F.size(split_by(line, F.col("_sep"))) > F.col("_n_seps") + 1)
-        return F.struct(wide.alias("wide"), F.size(body).cast("bigint").alias("n_rows"))
-
-    body = F.filter("_body", lambda line: ~is_blank(line))
-    return sniffed.select(file, let(body, checked).alias("_c")).select(
-        file, *_status(F.col("_c.wide")), F.col("_c.n_rows").alias("n_rows")
-    )
-
-
-def _status(too_wide: Column) -> tuple[Column, Column]:
-    return (
-        F.when(too_wide, "failed").otherwise("ok").alias("status"),
-        F.when(too_wide, "too_many_fields").alias("reason"),
-    )
-
-
 def table_rows(lines: DataFrame, sniffed: DataFrame | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
-    """(source_file, at, header, fields): the data lines after each file's header, split."""
+    """(source_file, at, raw_line, header, fields): the data lines after each file's header, header and line split."""
     facts = (sniffed if sniffed is not None else sniff(lines, head_lines)).select(
         "source_file", "sep", "header", "header_at"
     )
@@ -232,6 +159,7 @@ def table_rows(lines: DataFrame, sniffed: DataFrame | None = None, head_lines: i
     return body.select(
         "source_file",
         "at",
+        "raw_line",
         split_by(F.col("header"), F.col("sep")).alias("header"),
         split_by(F.col("raw_line"), F.col("sep")).alias("fields"),
     )
@@ -260,16 +188,37 @@ def read_sniffed(spark: SparkSession, path: str, glob: str = "*.csv", head_lines
     return rows.select(*columns)
 
 
-def load_status(lines: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
-    """(source_file, status, reason, n_rows) per file; failed when a data line is wider than the header."""
+def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(source_file) of the matching files of a folder, from its listing: scans pass over empty files."""
+    context = spark.sparkContext
+    pattern = context._jvm.org.apache.hadoop.fs.Path(path, glob)
+    found = pattern.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [(entry.getPath().getName(),) for entry in found or [] if entry.isFile()]
+    return spark.createDataFrame(names, "source_file string")
+
+
+def load_status(lines: DataFrame, files: DataFrame | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
+    """(source_file, status, reason, n_rows), one row per file.
+
+    A file fails when it has no text, or a data line wider than the header. Files without lines are
+    known only from ``files``.
+    """
     facts = sniff(lines, head_lines)
     data = table_rows(lines, facts).groupBy("source_file").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size("fields")).alias("widest")
     )
+    has_text = lines.groupBy("source_file").agg(F.bool_or(~is_blank("raw_line")).alias("has_text"))
     out = join_per_key(facts.select("source_file", "n_seps"), data, ["source_file"], "left")
+    out = join_per_key(out, has_text, ["source_file"], "left")
+    if files is not None:
+        out = join_per_key(files.select("source_file"), out, ["source_file"], "left")
+    empty = ~F.coalesce("has_text", F.lit(False))
     wide = F.coalesce(F.col("widest"), F.lit(0)) > F.col("n_seps") + 1
     return out.select(
-        "source_file", *_status(wide), F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+        "source_file",
+        F.when(empty | wide, "failed").otherwise("ok").alias("status"),
+        F.when(empty, "empty").when(wide, "too_many_fields").alias("reason"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
     )
 
 

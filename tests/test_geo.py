@@ -32,6 +32,17 @@ def features(spark, tmp_path):
     return source.read_geojson(spark, str(path), names)
 
 
+def test_properties_of_all_features(spark, tmp_path):
+    path = tmp_path / "some.geojson"
+    feature = lambda **p: {"type": "Feature", "properties": p, "geometry": None}
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [feature(b=1), feature(b=1, a=2), feature(c=3)]}))
+    assert source.geojson_properties(spark, str(path)) == ["b", "a", "c"]
+    assert [r.geometry for r in source.read_geojson(spark, str(path), ["b"]).collect()] == [None] * 3
+    path.write_text(json.dumps({"features": [{"properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}))
+    with pytest.raises(Exception, match="not a polygon"):
+        source.read_geojson(spark, str(path), []).collect()
+
+
 def test_scan_and_codes(features):
     got = [(r.kommun, r.kommun_kod, r.lan_kod, len(r.geometry)) for r in geo.municipality_features(features).orderBy("kommun").collect()]
     assert got == [("Ale", "0114", "07", 1), ("Örebro", "1880", "18", 2)]

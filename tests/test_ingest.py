@@ -41,7 +41,24 @@ def test_loads(spark, folder, tmp_path):
     assert {r.load_id for r in lazy.collect()} == {"1700000000.2"} and lazy.count() == 5
     eager = source.read_latest_load(spark, store)
     assert eager.count() == 5
-    assert "1700000000.2" in eager._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert set(eager.columns) == set(loads.columns) and {r.load_id for r in eager.collect()} == {"1700000000.2"}
+    assert all("load_id=1700000000.2" in f for f in eager.inputFiles()) and eager.inputFiles()
+
+
+def test_load_ids_with_signs(spark, folder, tmp_path):
+    store, ids = str(tmp_path / "store"), ["2024-01-01 09:30", "2024-01-01 10:00", "2024-01-01 10:00 'b'"]
+    lines = source.read_raw_lines(spark, folder)
+    for load in ids:
+        source.append_load(lines, store, load)
+        lines.withColumn("load_id", F.lit(load)).write.mode("append").partitionBy("load_id").saveAsTable("dated_loads")
+    assert list(source.load_folders(spark, store)) == ids
+    assert {r.load_id for r in source.read_latest_load(spark, store).collect()} == {ids[-1]}
+    assert source.drop_older_loads(spark, "dated_loads") == 2
+    assert {r.load_id for r in spark.table("dated_loads").collect()} == {ids[-1]}
+    spark.sql("drop table dated_loads")
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no load"):
+        source.read_latest_load(spark, str(tmp_path / "none"))
 
 
 def test_drop_older_loads(spark, folder):
@@ -119,15 +136,15 @@ def test_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_text_forms_agree_with_files(spark, unknown, rows):
-    lines = sniff.read_numbered_lines(spark, unknown, "one.csv")
-    files = spark.createDataFrame([("one.csv", TABLE)], "source_file string, body string")
-    s = files.select(sniff.sniff_text(F.col("body")).alias("s")).first().s
-    assert (s.sep, s.start, s.n_seps) == (";", 2, 3)
-    assert rows(sniff.text_rows(files, "source_file", "body").select("header", "fields").withColumn("header", F.split("header", ";"))) == rows(
-        sniff.table_rows(lines).select("header", "fields")
-    )
-    assert rows(sniff.text_status(files, "source_file", "body")) == rows(sniff.load_status(lines))
+def test_status_of_files_without_text(spark, tmp_path):
+    path = tmp_path / "some"
+    path.mkdir()
+    (path / "ok.csv").write_text("a;b\n1;2\n")
+    (path / "empty.csv").write_text("")
+    (path / "blank.csv").write_text("\n  \n")
+    lines, files = sniff.read_numbered_lines(spark, str(path)), sniff.list_files(spark, str(path))
+    got = {r.source_file: (r.status, r.reason, r.n_rows) for r in sniff.load_status(lines, files).collect()}
+    assert got == {"ok.csv": ("ok", None, 1), "empty.csv": ("failed", "empty", 0), "blank.csv": ("failed", "empty", 0)}
 
 
 def test_tables(spark, rows):
