@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rankmill.functions.text import is_blank, strip, zero_fill
 
@@ -42,8 +42,8 @@ def year_filter(df: DataFrame, column: str, value: Any, bad: str = "all") -> Dat
         return df if bad == "all" else df.filter(F.lit(False))
 
 
-def distinct_values(df: DataFrame, column: str, limit: int | None = 500) -> DataFrame:
-    """Sorted distinct non-NULL values as column ``v``."""
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Sorted distinct non-NULL values as column ``v``; all of them unless a limit is asked for."""
     out = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull()).distinct().orderBy("v")
     return out if limit is None else out.limit(limit)
 
@@ -83,8 +83,12 @@ def rows_of_top_keys(df: DataFrame, key: str, amount: str, n: int) -> DataFrame:
     """Rows of the n keys with the largest summed amount; a NULL key never qualifies."""
     sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(amount).alias("_sum"))
     top = sums.orderBy(F.col("_sum").desc_nulls_last(), key).limit(n).select(key)
-    # n rows by construction.
-    return df.join(F.broadcast(top), key, "left_semi")
+    return df.join(top, key, "left_semi")
+
+
+def positioned(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows in order with their place in ``position``, from 1. For bounded results only: one task orders them."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).orderBy("position")
 
 
 def lookup(df: DataFrame, column: str, code: Any, width: int) -> DataFrame:

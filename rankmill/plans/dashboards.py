@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from rankmill.functions.text import school_year_start, strip, zero_fill
 from rankmill.operators.geo import in_box, join_values, simplify
-from rankmill.operators.groups import mean
-from rankmill.operators.reshape import melt, melt_years, pivot, pivoted_share, relabel
+from rankmill.operators.groups import mean, recomputed_share
+from rankmill.operators.reshape import melt, melt_years, pivot, pivoted_share, relabel, year_label_columns
 from rankmill.operators.select import (
     means_all,
     optional_filters,
+    positioned,
     rows_of_top_keys,
     top_and_bottom,
     year_filter,
@@ -82,9 +83,12 @@ def top_gaps(
 
 
 def top_gaps_long(gaps: DataFrame) -> DataFrame:
-    """The same, one row per municipality and gender; narrowest gap first, as bars are drawn upwards."""
+    """The same, one row per municipality and gender; narrowest gap first, as bars are drawn upwards.
+
+    ``position`` states the order.
+    """
     long = melt(gaps, ["kommun", "gap_abs"], list(GENDER_LABELS), "Group", "Average grade points")
-    return relabel(long, "Group", GENDER_LABELS).orderBy(F.col("gap_abs").asc_nulls_first(), F.col("kommun").desc())
+    return positioned(relabel(long, "Group", GENDER_LABELS), F.col("gap_abs").asc_nulls_first(), F.col("kommun").desc(), F.col("Group").desc())
 
 
 def _providers(choice: DataFrame, lan: Any, providers: Sequence[str]) -> DataFrame:
@@ -98,19 +102,29 @@ def provider_shares(
     lan: Any = None,
     top_n: int = TOP_N,
     providers: Sequence[str] = (PUBLIC, INDEPENDENT),
+    fill_shares: bool = False,
 ) -> DataFrame:
-    """Rows of the largest municipalities (one year; a bad year gives no rows)."""
-    return rows_of_top_keys(
+    """Rows of the largest municipalities (one year; a bad year gives no rows).
+
+    With ``fill_shares``, for marts whose shares may be missing, a missing share is the row's part of
+    its municipality's pupils among these rows.
+    """
+    rows = rows_of_top_keys(
         _providers(year_filter(choice, "year", year, bad="none"), lan, providers), "kommun", "n_students", top_n
     )
+    if not fill_shares:
+        return rows
+    given = rows if "share" in rows.columns else rows.withColumn("share", F.lit(None).cast("double"))
+    filled = recomputed_share(given.withColumnRenamed("share", "_given"), "kommun", "n_students")
+    return filled.withColumn("share", F.coalesce("_given", "share")).select(*given.columns)
 
 
 def ordered_by_share(
     rows: DataFrame, providers: Sequence[str] = (PUBLIC, INDEPENDENT), by: str = INDEPENDENT, digits: int | None = 10
 ) -> DataFrame:
-    """(kommun, one mean share per provider), municipalities with the largest share of ``by`` first."""
+    """(kommun, one mean share per provider, position), municipalities with the largest share of ``by`` first."""
     wide = pivot(rows.na.drop(subset=["kommun"]), ["kommun"], "huvudman_typ", providers, mean("share", digits), fill=0)
-    return wide.orderBy(F.col(by).desc(), "kommun")
+    return positioned(wide, F.col(by).desc(), "kommun")
 
 
 def share_axis(rows: DataFrame, headroom: float = 1.15) -> DataFrame:
@@ -175,25 +189,23 @@ def pass_rate_trend(
 
 
 def pass_rate_by_subject(
-    long: DataFrame,
+    wide: DataFrame,
     owner: str,
     subject: str,
     owners: Sequence[str] = (PUBLIC, INDEPENDENT),
     latest: str | None = None,
     digits: int | None = 10,
 ) -> DataFrame:
-    """Mean per subject in the latest school year, best public subject first.
+    """Mean per subject in one school-year column of a wide file, by default the newest; best public subject first.
 
-    Pass the label of the latest school-year column as ``latest`` if it may hold no number at all;
-    else the latest year that has one is looked up.
+    ``position`` states the order. A newest year without any number gives no rows.
     """
-    start = school_year_start("year")
-    if latest is None:
-        rows = long.filter(start == long.agg(F.max(start)).scalar())
-    else:
-        rows = long.filter(F.col("year") == latest)
-    wide = pivot(rows.filter(F.col(subject).isNotNull()), [subject], owner, owners, mean("value", digits))
-    return wide.na.drop(how="all", subset=list(owners)).orderBy(F.col(owners[0]).desc_nulls_last(), subject)
+    labels = year_label_columns(wide.columns)
+    if not labels:
+        raise ValueError("no school-year column")
+    rows = pass_rates(wide, owner, subject, owners).filter(F.col("year") == (latest or labels[-1]))
+    means = pivot(rows.filter(F.col(subject).isNotNull()), [subject], owner, owners, mean("value", digits))
+    return positioned(means.na.drop(how="all", subset=list(owners)), F.col(owners[0]).desc_nulls_last(), subject)
 
 
 def pass_rate_change(

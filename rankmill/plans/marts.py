@@ -251,8 +251,9 @@ def build(
 ) -> dict[str, DataFrame]:
     """The named relations (default: all) and what they need, made from raw lines.
 
-    Without a store everything stays lazy. With one, relations marked as tables are written there
-    as parquet and read back, so each is computed once however many others read it.
+    Without a store nothing runs but the counting jobs of the ranked marts, whose counts are
+    checkpointed. With one, relations marked as tables are written there as parquet and read back,
+    so each is computed once however many others read it.
     """
     made = {"raw_data": raw_data}
 

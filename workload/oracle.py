@@ -170,9 +170,9 @@ def _sniffed(table: str, key: str, text: str) -> str:
     start = "case " + " ".join(f"when m{i} = {best} then list_position(c{i}, m{i}) - 1" for i in range(4)) + " end"
     return f"""
 sniffed as (
-  select {key}, all_lines, {sep} as sep, cast({start} as integer) as start, {best} as n_seps
+  select {key}, all_lines, {_not_blank('whole')} as has_text, {sep} as sep, cast({start} as integer) as start, {best} as n_seps
   from (select *, {most} from (select *, {counts} from (
-    select {key}, str_split({text}, chr(10)) as all_lines, str_split({text}, chr(10))[1:60] as head from {table}) a) b) c),
+    select {key}, {text} as whole, str_split({text}, chr(10)) as all_lines, str_split({text}, chr(10))[1:60] as head from {table}) a) b) c),
 body as (
   select * from (
     select {key}, all_lines[start + 1] as header, sep, start, n_seps,
@@ -192,8 +192,9 @@ def _not_blank(c: str) -> str:
 def _status(table: str, key: str, text: str) -> str:
     return _sniffed(table, key, text) + f""",
 status as (
-  select s.{key}, case when w.widest > s.n_seps + 1 then 'failed' else 'ok' end as status,
-    case when w.widest > s.n_seps + 1 then 'too_many_fields' end as reason, coalesce(w.n_rows, 0) as n_rows
+  select s.{key}, case when not s.has_text or w.widest > s.n_seps + 1 then 'failed' else 'ok' end as status,
+    case when not s.has_text then 'empty' when w.widest > s.n_seps + 1 then 'too_many_fields' end as reason,
+    coalesce(w.n_rows, 0) as n_rows
   from sniffed s left join (
     select {key}, max(n_fields) as widest, count(*) as n_rows from widths group by 1) w on s.{key} = w.{key})"""
 
@@ -209,6 +210,17 @@ squares as (
   from customer)"""
 
 
+BUDGET = """
+budget as (
+  select kommun_kod, kommun, lasar_start, totalt_per_elev from (
+    select *, row_number() over (partition by kommun_kod, lasar_start order by totalt_per_elev desc, o_orderkey) as rn from (
+      select o_orderkey, 'K' || cast(o_custkey as varchar) as kommun, cast(extract(year from o_orderdate) as integer) as lasar_start,
+        case when length(cast(o_custkey as varchar)) < 4 then lpad(cast(o_custkey as varchar), 4, '0')
+          else cast(o_custkey as varchar) end as kommun_kod,
+        cast(round(o_totalprice * 100) as bigint) as totalt_per_elev from orders) a) b
+  where rn = 1)"""
+
+
 def _keys(*columns: str) -> str:
     return ", ".join(["lasar_start", "kommun_kod", "huvudman_typ", "amne", *columns])
 
@@ -239,7 +251,9 @@ _BODIES: dict[str, tuple[str, str]] = {
     "sniff_delimiter": (_sniffed("documents", "doc_id", "text"), "select doc_id, sep, start, cast(n_seps as integer) as n_seps from sniffed"),
     "read_sniffed": (
         _sniffed("documents", "doc_id", "text"),
-        "select doc_id, cast(ln as integer) as ln, header, raw_line, cast(n_fields as integer) as n_fields from widths",
+        """select doc_id, cast(ln as integer) as ln, raw_line, cast(n_fields as integer) as n_fields,
+  cast(length(bare_header) - length(replace(bare_header, sep, '')) + 1 as integer) as n_names
+from (select *, regexp_replace(header, '"[^"]*"', '', 'g') as bare_header from widths) t""",
     ),
     "file_load_status": (_status("pages", "page_id", "html"), "select page_id, status, reason, n_rows from status"),
     "file_status_counts": (_status("documents", "doc_id", "text"), "select status, count(*) as n_files from status group by 1"),
@@ -378,7 +392,7 @@ union all select kon, 'Moms/Skatt', {_wavg('tax')} from weighed group by 1""",
         RESULTS,
         "select 0 as position, 'All' as option union all select distinct 1, kommun from results where lan = 'NATION_7'",
     ),
-    "distinct_values": (RESULTS, "select distinct kommun as v from results order by 1 limit 500"),
+    "distinct_values": (RESULTS, "select distinct kommun as v from results"),
     "latest_year_rows": (SHARE, "select * from pupils where year = (select max(year) from pupils)"),
     "top_bottom_n": (
         SHARE + ",\nlatest as (select * from pupils where year = (select max(year) from pupils))",
@@ -412,14 +426,16 @@ gaps as (
   select kommun, fm, mm, abs(fm - mm) as gap_abs
   from (select kommun, round(avg(f), 4) as fm, round(avg(m), 4) as mm from results group by 1) t
   order by gap_abs desc nulls last, kommun limit 10)""",
-        """select kommun, gap_abs, 'Girls' as "Group", fm as "Average grade points" from gaps
-union all select kommun, gap_abs, 'Boys', mm from gaps""",
+        """select *, row_number() over (order by gap_abs asc nulls first, kommun desc, "Group" desc) as position
+from (select kommun, gap_abs, 'Girls' as "Group", fm as "Average grade points" from gaps
+  union all select kommun, gap_abs, 'Boys', mm from gaps) t""",
     ),
     "topn_semijoin": (_top_shares(1997), "select * from top"),
     "order_by_pivot_share": (
         _top_shares(1998),
-        """select kommun, coalesce(round(avg(case when huvudman_typ = 'O' then share end), 10), 0) as "O",
-  coalesce(round(avg(case when huvudman_typ = 'F' then share end), 10), 0) as "F" from top group by 1""",
+        """select *, row_number() over (order by "F" desc, kommun) as position from (
+  select kommun, coalesce(round(avg(case when huvudman_typ = 'O' then share end), 10), 0) as "O",
+    coalesce(round(avg(case when huvudman_typ = 'F' then share end), 10), 0) as "F" from top group by 1) t""",
     ),
     "axis_range": (_top_shares(1997), "select max(share) * 1.15e0 as axis_max from top"),
     "share_trend": (
@@ -442,9 +458,10 @@ from long where huvudman_typ in ('A', 'N') group by 1""",
     ),
     "passrate_by_subject": (
         WIDE + ",\nchosen as (select * from long where huvudman_typ in ('A', 'N'))",
-        """select subject, round(avg(case when huvudman_typ = 'A' then value end), 10) as "A",
-  round(avg(case when huvudman_typ = 'N' then value end), 10) as "N"
-from chosen where year = (select max(year) from chosen) group by 1""",
+        """select *, row_number() over (order by "A" desc nulls last, subject) as position from (
+  select subject, round(avg(case when huvudman_typ = 'A' then value end), 10) as "A",
+    round(avg(case when huvudman_typ = 'N' then value end), 10) as "N"
+  from chosen where year = '2001/02' group by 1) t""",
     ),
     "delta_last_two_years": (
         WIDE + """,
@@ -472,7 +489,7 @@ from lagged where year = (select max(year) from yearly) and year_prev is not nul
         SQUARES,
         """select s.kommun, s.kommun_kod, v.cents from squares s left join (
   select o_custkey, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents
-  from orders where extract(year from o_orderdate) = 1997 group by 1) v on s.c_custkey = v.o_custkey""",
+  from orders group by 1) v on s.c_custkey = v.o_custkey""",
     ),
     "geo_feature_json": (
         SQUARES,
@@ -480,6 +497,55 @@ from lagged where year = (select max(year) from yearly) and year_prev is not nul
   || '","lan_kod":"' || lan_kod || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[['
   || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],['
   || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]]}}' as feature from squares""",
+    ),
+    "geo_simplify": (
+        SQUARES,
+        """select '{"type":"Feature","properties":{"kommun_kod":"' || lpad(cast(c_custkey as varchar), 8, '0')
+  || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[['
+  || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],['
+  || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]]}}' as feature from squares""",
+    ),
+    "geo_srid": (SQUARES, "select id, 4326 as srid from squares"),
+    "loaded_table": ("", "select s_suppkey, s_name from supplier"),
+    "parameter_query": ("", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' and o_orderkey >= 100"),
+    "shares_filled": (
+        _top_shares(1997),
+        """select * exclude (share, whole), case when n_students % 3 <> 0 then share
+    else cast(n_students as double) / nullif(cast(whole as double), 0.0e0) end as share
+from (select *, sum(n_students) over (partition by kommun) as whole from top) t""",
+    ),
+    "school_choice": (
+        SHARE + """,
+counted as (
+  select year, kommun, lan, case when huvudman_typ = 'O' then 'Kommunal' else 'Enskild' end as huvudman_typ, n_students
+  from pupils where n_students % 7 <> 0 and n_students % 11 <> 0 and n_students % 13 <> 0)""",
+        """select c.*, n_total, case when n_total = 0 then 0.0e0 else cast(n_students as double) / n_total end as share
+from counted c join (
+  select year, kommun, lan, cast(sum(n_students) as bigint) as n_total from counted group by 1, 2, 3) t
+  on c.year = t.year and c.kommun = t.kommun and c.lan = t.lan""",
+    ),
+    "gap_topn_fairness": (
+        CHOICE,
+        """select kommun, betygpoang_flickor, betygpoang_pojkar, abs(betygpoang_flickor - betygpoang_pojkar) as gap_abs
+from (select kommun, round(avg(betygpoang_flickor), 4) as betygpoang_flickor, round(avg(betygpoang_pojkar), 4) as betygpoang_pojkar
+  from choice where year = 1997 group by 1) t order by gap_abs desc nulls last, kommun limit 10""",
+    ),
+    "trend_any_rows": (TREND, "select * from trend"),
+    "budget_rows": (
+        BUDGET,
+        "select kommun_kod, kommun, totalt_per_elev from budget where lasar_start = (select max(lasar_start) from budget)",
+    ),
+    "budget_map": (
+        BUDGET + "," + SQUARES,
+        """select s.kommun_kod, b.totalt_per_elev from squares s
+left join (select * from budget where lasar_start = 1997) b on s.kommun_kod = b.kommun_kod
+where x0 <= 24.5 and x1 >= 10.5 and y0 <= 69.5 and y1 >= 55.0""",
+    ),
+    "budget_extremes": (
+        BUDGET + """,
+one as (select kommun_kod, kommun, cast(totalt_per_elev as double) as totalt_per_elev from budget where lasar_start = 1996)""",
+        """select *, 'top' as side from (select * from one order by totalt_per_elev desc, kommun limit 10) t
+union all select *, 'bottom' from (select * from one order by totalt_per_elev, kommun limit 10) b""",
     ),
     "expect_not_null": (
         PARSED,

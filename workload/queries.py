@@ -10,8 +10,8 @@ from rankmill.functions import numbers, text
 from rankmill.operators import geo, groups, lines as line_ops, quality, rank, reshape, select, trend as trend_ops
 from rankmill.operators.lines import LineFamily
 from rankmill.plans import dashboards, marts
-from rankmill.session import checkpoint
-from rankmill.sources import geo as geo_source, lines as line_source, sniff
+from rankmill.session import stored
+from rankmill.sources import geo as geo_source, lines as line_source, sniff, tables
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,19 +32,15 @@ TRIMMED = LineFamily(boilerplate=HEADERS, columns=[*FIELDS, "saknas"], trimmed=T
 PROVIDERS = ("O", "F")
 
 
-# As in a load or a mart build, relations that are read or taken apart more than once are stored.
+def _document_lines(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> DataFrame:
+    """A text column as the lines of one file per row: (source_file, at, raw_line)."""
+    rows = views.table(spark, sf_dir, name).select(F.col(key).cast("string").alias("source_file"), F.split(text, "\n").alias("lines"))
+    parts = rows.select("source_file", F.posexplode("lines").alias("row", "raw_line"))
+    return parts.select("source_file", F.struct(F.lit(0).alias("block"), "row").alias("at"), "raw_line")
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpoint(views.raw(spark, sf_dir))
-
-
-def _pupils(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpoint(views.share(spark, sf_dir))
-
-
-def _tests(spark: SparkSession, sf_dir: str, subject: str = "subject") -> DataFrame:
-    return checkpoint(views.tests(spark, sf_dir, subject))
+def _document_files(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return views.table(spark, sf_dir, name).select(F.col(key).cast("string").alias("source_file"))
 
 
 def register(query: Query) -> Query:
@@ -77,7 +73,7 @@ def distinct_lines(spark, sf_dir):
 
 @register
 def drop_boilerplate(spark, sf_dir):
-    return line_ops.drop_boilerplate(_raw(spark, sf_dir), HEADERS)
+    return line_ops.drop_boilerplate(views.raw(spark, sf_dir), HEADERS)
 
 
 @register
@@ -101,24 +97,34 @@ def latest_load_only(spark, sf_dir):
 
 @register
 def sniff_delimiter(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", sniff.sniff_text(F.col("text")).alias("s")).select("doc_id", "s.sep", "s.start", "s.n_seps")
+    facts = sniff.sniff(_document_lines(spark, sf_dir, "documents", "doc_id", "text"))
+    return facts.select(F.col("source_file").cast("bigint").alias("doc_id"), "sep", "start", "n_seps")
 
 
 @register
 def read_sniffed(spark, sf_dir):
-    rows = sniff.text_rows(views.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("doc_id", "ln", "header", "raw_line", F.size("fields").alias("n_fields"))
+    rows = sniff.table_rows(_document_lines(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select(
+        F.col("source_file").cast("bigint").alias("doc_id"),
+        F.col("at.row").alias("ln"),
+        F.size("header").alias("n_names"),
+        "raw_line",
+        F.size("fields").alias("n_fields"),
+    )
 
 
 @register
 def file_load_status(spark, sf_dir):
-    return sniff.text_status(views.table(spark, sf_dir, "pages"), "page_id", "html")
+    status = sniff.load_status(
+        _document_lines(spark, sf_dir, "pages", "page_id", "html"), _document_files(spark, sf_dir, "pages", "page_id")
+    )
+    return status.withColumn("page_id", F.col("source_file").cast("bigint")).drop("source_file")
 
 
 @register
 def file_status_counts(spark, sf_dir):
-    return sniff.status_counts(sniff.text_status(views.table(spark, sf_dir, "documents"), "doc_id", "text"))
+    lines = _document_lines(spark, sf_dir, "documents", "doc_id", "text")
+    return sniff.status_counts(sniff.load_status(lines, _document_files(spark, sf_dir, "documents", "doc_id")))
 
 
 # ---- Parsing and cleaning ----
@@ -126,17 +132,17 @@ def file_status_counts(spark, sf_dir):
 
 @register
 def parse_results_lines(spark, sf_dir):
-    parsed = RESULTS.parse(_raw(spark, sf_dir))
+    parsed = RESULTS.parse(views.raw(spark, sf_dir))
     return parsed.withColumns({"andel": numbers.marked_share("andel"), "antal": numbers.marked_count("antal")})
 
 
 @register
 def parse_split_part(spark, sf_dir):
-    return TRIMMED.parse(_raw(spark, sf_dir))
+    return TRIMMED.parse(views.raw(spark, sf_dir))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RESULTS.parse(_raw(spark, sf_dir)).select("lasar_start", "kommun_kod", "huvudman_typ", "amne", "andel", "antal")
+    return RESULTS.parse(views.raw(spark, sf_dir)).select("lasar_start", "kommun_kod", "huvudman_typ", "amne", "andel", "antal")
 
 
 def _with(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
@@ -204,7 +210,7 @@ def gender_gap(spark, sf_dir):
 
 
 def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.choice(_tests(spark, sf_dir), DIGITS)
+    return marts.choice(views.tests(spark, sf_dir), DIGITS)
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +225,7 @@ def percentile_score(spark, sf_dir):
 
 @register
 def rank_marts(spark, sf_dir):
-    return marts.ranked_municipalities(_tests(spark, sf_dir, "coarse"), DIGITS)
+    return marts.ranked_municipalities(views.tests(spark, sf_dir, "coarse"), DIGITS)
 
 
 @register
@@ -236,7 +242,8 @@ def rollup_all(spark, sf_dir):
 
 @register
 def fairness(spark, sf_dir):
-    return marts.fairness(checkpoint(_choice(spark, sf_dir)))
+    # the ranks read their input twice, and the scores were ranked themselves
+    return marts.fairness(stored(_choice(spark, sf_dir)))
 
 
 @register
@@ -258,12 +265,12 @@ def previous_year_any_rows(spark, sf_dir):
 
 @register
 def share_of_total(spark, sf_dir):
-    return groups.share_of_total(_pupils(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
+    return groups.share_of_total(views.share(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
 
 
 @register
 def share_recomputed(spark, sf_dir):
-    return groups.recomputed_share(_pupils(spark, sf_dir), "kommun", "n_students")
+    return groups.recomputed_share(views.share(spark, sf_dir), "kommun", "n_students")
 
 
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +324,18 @@ def table_head(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").orderBy("o_orderkey").limit(25)
 
 
+@register
+def loaded_table(spark, sf_dir):
+    views.table(spark, sf_dir, "supplier").createOrReplaceTempView("kept_supplier")
+    return tables.load_table(spark, "kept_supplier").select("s_suppkey", "s_name")
+
+
+@register
+def parameter_query(spark, sf_dir):
+    sql = "select o_orderkey, o_orderstatus from {orders} where o_orderstatus = :status and o_orderkey >= :least"
+    return tables.query(spark, sql, {"status": "F", "least": 100}, orders=views.table(spark, sf_dir, "orders"))
+
+
 @register
 def optional_filters(spark, sf_dir):
     rows = views.results(spark, sf_dir).select("year", "kommun", "lan", "huvudman_typ", "subject", "n", "cents")
@@ -342,20 +361,20 @@ def distinct_values(spark, sf_dir):
 
 @register
 def latest_year_rows(spark, sf_dir):
-    return trend_ops.at_latest(_pupils(spark, sf_dir), "year")
+    return trend_ops.at_latest(views.share(spark, sf_dir), "year")
 
 
 @register
 def top_bottom_n(spark, sf_dir):
     return select.top_and_bottom(
-        trend_ops.at_latest(_pupils(spark, sf_dir), "year"), "n_students", 10, ["kommun", "huvudman_typ"]
+        trend_ops.at_latest(views.share(spark, sf_dir), "year"), "n_students", 10, ["kommun", "huvudman_typ"]
     )
 
 
 @register
 def metric_by_year(spark, sf_dir):
-    ranked = marts.ranked_municipalities(_tests(spark, sf_dir, "coarse"), DIGITS)
-    return dashboards.ranking_map(ranked, 1998, "avg_total")
+    tests = views.tests(spark, sf_dir, "coarse").filter(F.col("lasar_start") == 1998)
+    return dashboards.ranking_map(marts.ranked_municipalities(tests, DIGITS), 1998, "avg_total")
 
 
 @register
@@ -369,17 +388,18 @@ def point_lookup(spark, sf_dir):
 
 @register
 def trend_series(spark, sf_dir):
-    return dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), lan="All", digits=DIGITS)
+    # here and below: the series are read twice, for their latest year and for the rest
+    return dashboards.trend_series(stored(_trend(spark, sf_dir)), lan="All", digits=DIGITS)
 
 
 @register
 def trend_series_by_provider(spark, sf_dir):
-    return dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), subject="S2", huvudman="N", digits=DIGITS)
+    return dashboards.trend_series(stored(_trend(spark, sf_dir)), subject="S2", huvudman="N", digits=DIGITS)
 
 
 @register
 def series_last_point(spark, sf_dir):
-    return trend_ops.at_latest(dashboards.trend_series(checkpoint(_trend(spark, sf_dir)), digits=DIGITS), "year")
+    return trend_ops.at_latest(dashboards.trend_series(stored(_trend(spark, sf_dir)), digits=DIGITS), "year")
 
 
 @register
@@ -403,7 +423,7 @@ def gap_long(spark, sf_dir):
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.share_of_total(_pupils(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
+    return groups.share_of_total(views.share(spark, sf_dir), ["year", "kommun", "lan"], "n_students")
 
 
 @register
@@ -424,7 +444,75 @@ def axis_range(spark, sf_dir):
 
 @register
 def share_trend(spark, sf_dir):
-    return dashboards.independent_share_over_time(_pupils(spark, sf_dir), providers=PROVIDERS)
+    return dashboards.independent_share_over_time(views.share(spark, sf_dir), providers=PROVIDERS)
+
+
+@register
+def shares_filled(spark, sf_dir):
+    """Where the mart has no share, the part of the municipality's pupils."""
+    shares = _shares(spark, sf_dir).withColumn("share", F.when(F.col("n_students") % 3 != 0, F.col("share")))
+    return dashboards.provider_shares(shares, year=1997, providers=PROVIDERS, fill_shares=True)
+
+
+@register
+def school_choice(spark, sf_dir):
+    """The mart over untyped rows, some of them with a negative, missing or unreadable number of pupils."""
+    n = F.col("n_students")
+    text = F.when(n % 7 == 0, "-5").when(n % 11 == 0, None).when(n % 13 == 0, "..").otherwise(n.cast("string"))
+    pupils = views.share(spark, sf_dir).select(
+        F.col("year").cast("string").alias("lasar_start"),
+        "kommun",
+        "lan",
+        F.when(F.col("huvudman_typ") == "O", "Kommunal huvudman").otherwise("enskild").alias("huvudman_typ"),
+        text.alias("elever_totalt_1_9"),
+    )
+    return marts.school_choice(pupils)
+
+
+@register
+def gap_topn_fairness(spark, sf_dir):
+    mart = marts.fairness(stored(_choice(spark, sf_dir)))
+    return dashboards.top_gaps(mart, year=1997, digits=DIGITS)
+
+
+@register
+def trend_any_rows(spark, sf_dir):
+    """The mart without the knowledge that a series has one row per year."""
+    return marts.trend(_choice(spark, sf_dir))
+
+
+# ---- Budget ----
+
+
+def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "orders").select(
+        text.zero_fill("o_custkey", 4).alias("kommun_kod"),
+        F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("kommun"),
+        F.year("o_orderdate").alias("lasar_start"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("totalt_per_elev"),
+        "o_orderkey",
+    )
+
+
+def _yearly_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rank.latest_per_key(_budget(spark, sf_dir), ["kommun_kod", "lasar_start"], ["totalt_per_elev"], ["o_orderkey"])
+    return rows.drop("o_orderkey")
+
+
+@register
+def budget_rows(spark, sf_dir):
+    return dashboards.budget_rows(_yearly_budget(spark, sf_dir))
+
+
+@register
+def budget_map(spark, sf_dir):
+    features = geo.municipality_features(views.squares(spark, sf_dir)).select("kommun_kod", "geometry")
+    return dashboards.budget_map(_yearly_budget(spark, sf_dir), features, 1997).select("kommun_kod", "totalt_per_elev")
+
+
+@register
+def budget_extremes(spark, sf_dir):
+    return dashboards.budget_extremes(_yearly_budget(spark, sf_dir), 1996)
 
 
 # ---- Wide files ----
@@ -446,7 +534,7 @@ def passrate_trend(spark, sf_dir):
 
 @register
 def passrate_by_subject(spark, sf_dir):
-    return dashboards.pass_rate_by_subject(checkpoint(_rates(spark, sf_dir)), "huvudman_typ", "subject", ("A", "N"))
+    return dashboards.pass_rate_by_subject(views.wide(spark, sf_dir), "huvudman_typ", "subject", ("A", "N"))
 
 
 @register
@@ -478,7 +566,7 @@ def geo_bbox_filter(spark, sf_dir):
 @register
 def geo_join_values(spark, sf_dir):
     features = geo.municipality_features(views.squares(spark, sf_dir)).select("kommun", "kommun_kod")
-    orders = views.table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1997)
+    orders = views.table(spark, sf_dir, "orders")
     values = orders.groupBy(text.zero_fill("o_custkey", 4).alias("kommun_kod")).agg(
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")
     )
@@ -492,7 +580,13 @@ def geo_feature_json(spark, sf_dir):
 
 @register
 def geo_simplify(spark, sf_dir):
-    return geo.simplify(views.blobs(spark, sf_dir), 0.01)
+    """Squares with points on, and within the tolerance of, their sides: the corners stay."""
+    return geo_source.feature_json(geo.simplify(views.notched(spark, sf_dir), 0.01))
+
+
+@register
+def geo_srid(spark, sf_dir):
+    return geo.with_srid(views.squares(spark, sf_dir)).select("id", "srid")
 
 
 # ---- Data tests ----
@@ -500,5 +594,5 @@ def geo_simplify(spark, sf_dir):
 
 @register
 def expect_not_null(spark, sf_dir):
-    parsed = RESULTS.parse(_raw(spark, sf_dir)).withColumn("andel", numbers.marked_share("andel"))
+    parsed = RESULTS.parse(views.raw(spark, sf_dir)).withColumn("andel", numbers.marked_share("andel"))
     return quality.expect_not_null(parsed, "results", ["kommun", "andel", "antal", "source_file"])

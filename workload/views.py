@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _named(sums: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums per supplier key with the supplier and its nation; the 25 nations are broadcast."""
+    """Sums per supplier key with the supplier and its nation."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return sums.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
         nation, F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -160,6 +160,23 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def notched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares with three more points on each side, none of them farther from it than 1/128."""
+    key = F.col("c_custkey")
+    x0 = F.lit(9.0) + (key % 67).cast("double") * 0.25
+    y0 = F.lit(54.0) + (key % 71).cast("double") * 0.25
+    corners = [(x0, y0), (x0 + 0.5, y0), (x0 + 0.5, y0 + 0.5), (x0, y0 + 0.5)]
+    points = []
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        points.append(F.array(ax, ay))
+        for part, off in ((0.25, 0.0), (0.5, 1 / 128), (0.75, -1 / 256)):
+            # the side's normal is its direction turned by a right angle; sides are half a degree long
+            points.append(F.array(ax + (bx - ax) * part - (by - ay) * 2 * off, ay + (by - ay) * part + (bx - ax) * 2 * off))
+    return table(spark, sf_dir, "customer").select(
+        zero_code(key).alias("kommun_kod"), F.array(F.array(F.array(*points, points[0]))).alias("geometry")
+    )
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One closed 48-gon with an uneven edge per customer."""
     key = F.col("c_custkey")
