@@ -1,13 +1,12 @@
-"""What the text operators share: reading tables, stored intermediates, free column names."""
+"""What the text operators share."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from rankmill.session import checkpoint
+from rankmill.session import stored
+
+__all__ = ["SPACES", "stored", "table"]
 
 #: Separators of words in all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -15,43 +14,3 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder under ``spark.checkpoint.dir``, which every executor can read."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpoint(spark.range(1))  # sets the folder of a local session, or raises on a cluster
-    return f"{context.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back; lost executors cost nothing.
-
-    Columnar, compressed and of known size, so that Catalyst may broadcast what turns out small.
-    The folder is removed when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None:  # the session has gone already
-        return
-    try:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the gateway may be closing; the cluster cleans its checkpoint folder
-        pass
-
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores before it until no column of ``df`` is called so."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
