@@ -4,8 +4,8 @@ Texts are compared in a plain form: lower case, ASCII signs as spaces, runs of w
 space. A test item of n characters may occur with up to n // ``PER_ERROR`` edits anywhere in a text.
 It is split into one piece more than that, so an occurrence holds at least one piece unchanged. An
 automaton finds all exact piece hits in one pass over a text; each hit fixes where the item would
-lie, and there Myers' bit-parallel algorithm takes the edit distance. Before it, windows that hold too few of
-the item's four-character strings for any such occurrence are passed over.
+lie, and there Myers' bit-parallel algorithm takes the edit distance, first of the small parts around the
+piece, which have smaller budgets of their own, at last of the whole item.
 
 Items are taken in blocks of bounded size, each broadcast for one pass over the texts, so a benchmark
 of any size works. Texts are read whole, where they lie; nothing is shuffled.
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 PER_ERROR = 10  # characters for each edit allowed
 BLOCK_BYTES = 4_000_000  # plain text of the items of one block
-GRAM = 4
 
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANK = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
@@ -40,10 +39,23 @@ def budget(item: str, per_error: int = PER_ERROR) -> int:
     return len(item) // per_error
 
 
-def pieces(item: str, errors: int) -> list[tuple[int, str]]:
-    """``errors`` + 1 pieces of near equal length that make up the item, with their places."""
-    cuts = [i * len(item) // (errors + 1) for i in range(errors + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+Part = tuple[int, int, int]  # start, end, edits allowed
+
+
+def pieces(start: int, end: int, errors: int, above: tuple[Part, ...] = ()) -> Iterator[tuple[int, int, tuple[Part, ...]]]:
+    """``errors`` + 1 pieces that make up a part, as (start, end, the parts around it from the smallest on).
+
+    A part with e edits is halved into parts with d and e - 1 - d: were both exceeded, there would be
+    more than e. So in each occurrence some piece is whole, and all parts around it keep to their edits.
+    """
+    if not errors:
+        yield start, end, above
+        return
+    above = ((start, end, errors), *above)
+    left = (errors - 1) // 2
+    cut = start + (end - start) * (left + 1) // (errors + 1)
+    yield from pieces(start, cut, left, above)
+    yield from pieces(cut, end, errors - 1 - left, above)
 
 
 def nearest(item: str, window: str) -> tuple[int, int]:
@@ -74,24 +86,16 @@ class Matcher:
         import ahocorasick
 
         self.items = [(key, text, budget(text, per_error)) for key, text in items]
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, tuple[Part, ...]]]] = {}
         for n, (_, text, errors) in enumerate(self.items):
-            for at, piece in pieces(text, errors):
-                places.setdefault(piece, []).append((n, at))
+            for start, end, around in pieces(0, len(text), errors):
+                places.setdefault(text[start:end], []).append((n, start, around or ((0, len(text), 0),)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
         self.empty = not places
-        self.grams: dict[int, list[str]] = {}
-
-    def _possible(self, n: int, text: str, window: str, errors: int) -> bool:
-        grams = self.grams.get(n)
-        if grams is None:
-            grams = self.grams[n] = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
-        held = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
-        return sum(g in held for g in grams) >= len(grams) - GRAM * errors
 
     def find(self, body: str) -> list[tuple[int, int, int, int]]:
         """(item key, distance, start, end) of each item's nearest occurrence in a plain text."""
@@ -99,20 +103,21 @@ class Matcher:
             return []
         tried, best = set(), {}
         for last, (length, where) in self.automaton.iter(body):
-            for n, at in where:
+            for n, at, around in where:
                 begin = last + 1 - length - at  # where the item would start without edits before the piece
                 if (n, begin) in tried:
                     continue
-                tried.add((n, begin))
-                key, text, errors = self.items[n]
-                low = max(0, begin - errors)
-                window = body[low : begin + len(text) + errors]
-                if len(window) < len(text) - errors or not self._possible(n, text, window, errors):
-                    continue
-                distance, end = nearest(text, window)
-                if distance <= errors:
-                    start = low + end - nearest(text[::-1], window[:end][::-1])[1]
-                    best[n] = min(best.get(n, (distance, start, low + end)), (distance, start, low + end))
+                text = self.items[n][1]
+                for start, end, errors in around:
+                    low = max(0, begin + start - errors)
+                    window = body[low : max(0, begin + end + errors)]
+                    distance, stop = nearest(text[start:end], window)
+                    if distance > errors:
+                        break
+                else:  # the last part around a piece is the whole item
+                    tried.add((n, begin))
+                    first = low + stop - nearest(text[::-1], window[:stop][::-1])[1]
+                    best[n] = min(best.get(n, (distance, first, low + stop)), (distance, first, low + stop))
         return [(self.items[n][0], *found) for n, found in sorted(best.items())]
 
 
