@@ -44,4 +44,23 @@ select doc_id, first_value(doc_id) over (partition by body order by chars desc,
        sha256(body) as text_sha256
 from bodies"""
 
-STATEMENTS = {"op3_secrets": OP3, "op10_exact_dedup": OP10}
+OP5 = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from words),
+items as (select doc_id, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from shared join sets sa on sa.doc_id = a join sets sb on sb.doc_id = b
+  where 100 * n >= 75 * (len(sa.s) + len(sb.s) - n)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as other from sets union select e.b, r.other from reach r join edges e on e.a = r.doc_id)
+select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sets s join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)"""
+
+STATEMENTS = {"op3_secrets": OP3, "op5_near_dedup": OP5, "op10_exact_dedup": OP10}
