@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as driver
 from check import TABLES, compare
+from rankmill.plans import marts
 from workload.oracle import statements
 from workload.queries import QUERIES
 
@@ -78,3 +79,9 @@ def test_plans_of_parsers_run_no_jobs(spark, sf_dir):
 def test_distinct_values_are_all_there(spark, sf_dir):
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     assert "Limit" not in plan(QUERIES["distinct_values"](spark, sf_dir)) and QUERIES["distinct_values"](spark, sf_dir).count() == suppliers
+
+
+def test_marts_without_ranks_build_lazily(spark):
+    raw = spark.createDataFrame([("a;b", "x 2024.csv")], "raw_line string, source_file string")
+    names = ["mart_parent_choice_ak1_9", "mart_budget_per_elev_kommun_latest", "mart_behorighet_national_gender_2024_25"]
+    assert jobs_of(spark, lambda: marts.build(raw, names)) == 0
