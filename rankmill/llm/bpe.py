@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from rankmill.llm.common import stored
+from rankmill.llm.common import stored, tidy
 
 CHUNK, OVERLAP = 65_536, 1_024  # characters
 LOOKAHEAD = 2  # characters beyond its end that can change a pre-token
@@ -98,7 +98,7 @@ def _stitched(chunks: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(no, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array(final, pa.list_(pa.int32())), pa.array(sure)], ["row", "no", "first", "final", "sure"])
 
     chunks = chunks.repartition("row", "no")  # the chunks of one text go to many tasks
-    ends = chunks.select("row", "no", "last", "part").mapInArrow(boundaries, "row long, no int, first array<int>, final array<int>, sure boolean")
+    ends = chunks.select("row", "no", "last", "part").mapInArrow(tidy(boundaries), "row long, no int, first array<int>, final array<int>, sure boolean")
     order = Window.partitionBy("row").orderBy("no")
     meeting = F.when(F.col("sure"), F.array_min(F.array_intersect("final", F.lead("first").over(order))))
     stops = ends.select("row", "no", meeting.alias("stop")).select(
@@ -124,9 +124,9 @@ def encode(docs: DataFrame, encoding: Encoding, key: str = "doc_id", text: str =
                 ids = [shared.value.encode(t) for t in _texts(part.column(part.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"])
 
-    short = narrow.filter(F.length("text") <= chunk).mapInArrow(whole, f"key {kind}, ids array<int>")
+    short = narrow.filter(F.length("text") <= chunk).mapInArrow(tidy(whole), f"key {kind}, ids array<int>")
     chunks = stored(_overlapping_chunks(narrow.filter(F.length("text") > chunk), chunk, overlap))
-    pieces = _stitched(chunks, shared, chunk, overlap).mapInArrow(whole, "row long, piece long, ids array<int>")
+    pieces = _stitched(chunks, shared, chunk, overlap).mapInArrow(tidy(whole), "row long, piece long, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda s: s["ids"]))
     ids = pieces.groupBy("row").agg(joined.alias("ids"))
     long = chunks.filter("no = 0").select("row", "key").join(ids, "row").select("key", "ids")
@@ -149,4 +149,4 @@ def decode(encoded: DataFrame, encoding: Encoding, key: str = "doc_id") -> DataF
                     [part.column(0), pa.array(packed, pa.binary()), pa.array([b"".join(map(tokens.__getitem__, i)) for i in ids], pa.binary())], [key, "ids_bytes", "decoded"]
                 )
 
-    return encoded.select(key, "ids").mapInArrow(bytes_of, f"`{key}` {kind}, ids_bytes binary, decoded binary")
+    return encoded.select(key, "ids").mapInArrow(tidy(bytes_of), f"`{key}` {kind}, ids_bytes binary, decoded binary")

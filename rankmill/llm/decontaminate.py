@@ -24,6 +24,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rankmill.llm.common import tidy
+
 PER_ERROR = 10  # characters for each edit allowed
 BLOCK_BYTES = 4_000_000  # plain text of the items of one block
 
@@ -154,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 types = [batch.schema.field(0).type, *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "item_id", "distance", "start", "end"])
 
-        return narrow.mapInArrow(found, f"`{key}` {kind}, {FOUND}")
+        return narrow.mapInArrow(tidy(found), f"`{key}` {kind}, {FOUND}")
 
     parts = [search(block) for block in blocks(items, item_key, item_text)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], f"`{key}` {kind}, {FOUND}")
@@ -173,5 +175,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
         return kept
 
     for block in blocks(items, item_key, item_text):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(tidy(clean(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs

@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from rankmill.llm.common import stored
+from rankmill.llm.common import arrow_rows, stored, tidy
 from rankmill.llm.components import components
 from rankmill.llm.shingles import MinHasher, Shingler, digest, raw_texts
 
 SIMILARITY = 75  # per cent
 BANDS, ROWS, BATCH = 32, 4, 32
 MISS = 1e-7  # probability at which a candidate is given up
+BATCH_ROWS = 512  # rows handed to Python at once; a row can hold two shingle sets
 TURNS = (1, 4, BANDS)  # bands in whose buckets each turn compares all members with one of them
 
 FEATURES = "key long, n_shingles long, digest binary, signature binary"
@@ -120,8 +121,8 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         pairs = pairs.distinct()
-        survivors = _with_both(pairs, self.facts, "signature").mapInArrow(_survivors, "a long, b long")
-        found = stored(_with_both(survivors, self.sets, "hashes").mapInArrow(_similar, "a long, b long"))
+        survivors = _with_both(pairs, self.facts, "signature").mapInArrow(tidy(_survivors), "a long, b long")
+        found = stored(_with_both(survivors, self.sets, "hashes").mapInArrow(tidy(_similar), "a long, b long"))
         self.links = found if self.links is None else self.links.union(found)
         self.labels = components(self.links)
 
@@ -168,7 +169,7 @@ def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of buckets with several components, once for each of their rarest shingles that another one holds."""
     mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(F.col("bucket").alias("__bucket"))
     left = stored(members.join(mixed, F.col("bucket").eqNullSafe(F.col("__bucket")), "left_semi").select("node", "n", "label").distinct())
-    held = stored(sets.join(left.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, bucket long"))
+    held = stored(sets.join(left.select("node"), "node", "left_semi").mapInArrow(tidy(_shingles), "node long, bucket long"))
     counts = held.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("holders"))
     counted = held.join(counts, F.col("bucket").eqNullSafe(F.col("__bucket"))).drop("__bucket").join(left, "node")
     place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "bucket"))
@@ -176,10 +177,10 @@ def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.withColumn("place", place).filter((F.col("place") <= F.col("n") - need + 1) & (F.col("holders") > 1)).select("bucket", "node", "n", "label", "place")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``key``, n_shingles, component_id, kept. ``key`` is an integer."""
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n_shingles, digest) of the rows, and the label of each digest, smallest key of its component."""
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = stored(narrow.mapInArrow(_features, FEATURES))
+    rows = stored(narrow.mapInArrow(tidy(_features), FEATURES))
     named = rows.filter("n_shingles > 0 and key is not null")
     classes = named.groupBy("digest").agg(F.min("key").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     facts = stored(classes)
@@ -189,13 +190,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("band", "bucket", "node", "n"))
     # the sets of those that share a bucket; of known size, so that Catalyst may broadcast the names
     wanted = stored(members.select("node").distinct().join(facts.select("node", "digest"), "node"))
-    sets = narrow.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(_sets, "node long, digest binary, hashes binary")
+    sets = narrow.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(tidy(_sets), "node long, digest binary, hashes binary")
     sets = stored(sets.join(wanted, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "hashes"))
     links = _Links(facts, sets)
     for turn, bands in enumerate(TURNS):
         links.add(_star(links.labelled(members.filter(F.col("band") < bands)), turn))
     links.add(_rest(stored(_rarest(stored(links.labelled(members)), sets))))
     ends = facts.select("digest", F.col("node")).transform(links.labelled).select(F.col("digest").alias("__digest"), "label")
+    return rows, ends
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``key``, n_shingles, component_id, kept. ``key`` is an integer."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows, ends = _classes(docs, key, text)
     joined = rows.join(ends, F.col("digest").eqNullSafe(F.col("__digest")), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).otherwise(F.col("key"))
     component = F.when(F.col("key").isNotNull(), component)

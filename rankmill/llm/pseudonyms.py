@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankmill.llm.common import tidy
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -189,4 +191,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "
     from pyspark.sql import types as T
 
     place = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return docs.drop(spans).mapInArrow(replaced, T.StructType([*docs.drop(spans).schema.fields, T.StructField(spans, T.ArrayType(place))]))
+    return docs.drop(spans).mapInArrow(tidy(replaced), T.StructType([*docs.drop(spans).schema.fields, T.StructField(spans, T.ArrayType(place))]))

@@ -30,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankmill.llm.common import tidy
+
 SAMPLE = 3000  # labelled texts of each class
 FRONT, TAIL = 65_536, 16_384  # bytes of the common part and of the toxic part
 COMMON_WORDS = 4000
 LEVEL = 12
 LEAST_PART, LEAST_TEXTS, LEAST_RATIO, LEAST_EVIDENCE = 0.005, 3, 6.0, 20.0
 TOP = 3
-CACHE = 400_000  # words whose weight a task remembers
+CACHE = 100_000  # words whose weight a task remembers
 
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalpha())
 _BLANK = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
@@ -56,19 +58,20 @@ def _hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big")
 
 
-def _apart(texts: list[bytes]) -> list[set[bytes]]:
-    """Word sets of the texts, without those that share half of their eight smallest word hashes with an earlier one."""
+def _apart(texts: list[bytes], index: dict[bytes, int]) -> list[np.ndarray]:
+    """Numbers of the distinct words of each text, as ``index`` gives them; without texts that share half
+    of their eight smallest word hashes with an earlier one."""
     seen: dict[int, int] = {}
     out = []
     for text in texts:
-        own = set(words(text))
+        own = sorted(set(words(text)))
         sketch = sorted(map(_hash, own))[:8]
         shared = Counter(seen[h] for h in sketch if h in seen)
         if shared and 2 * max(shared.values()) >= len(sketch):
             continue
         for h in sketch:
             seen.setdefault(h, len(out))
-        out.append(own)
+        out.append(np.array([index.setdefault(w, len(index)) for w in own], np.int32))
     return out
 
 
@@ -139,24 +142,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", {}, 500.0 if toxic else -500.0, 0.0)
-    bad, good = _apart(toxic), _apart(ordinary)
-    in_bad, in_good = (Counter(w for own in sets for w in own) for sets in (bad, good))
-    a, b = len(bad), len(good)
+    index: dict[bytes, int] = {}
+    bad, good = _apart(toxic, index), _apart(ordinary, index)
+    vocabulary, a, b = list(index), len(bad), len(good)
+    if not index:
+        return Model(b"", b"", {}, math.log(a / b), 0.0)
+    in_bad, in_good = (np.bincount(np.concatenate(texts), minlength=len(index)).tolist() for texts in (bad, good))
     telling = {
-        w: _evidence(k, a, in_good[w], b)
-        for w, k in in_bad.items()
-        if k >= max(LEAST_TEXTS, LEAST_PART * a) and k * b >= LEAST_RATIO * in_good[w] * a
+        w: _evidence(k, a, other, b)
+        for w, k, other in zip(vocabulary, in_bad, in_good, strict=True)
+        if k >= max(LEAST_TEXTS, LEAST_PART * a) and k * b >= LEAST_RATIO * other * a
     }
     telling = sorted((w for w, e in telling.items() if e >= LEAST_EVIDENCE), key=lambda w: (telling[w], w))
-    common = sorted(in_good, key=lambda w: (in_good[w], w))[-COMMON_WORDS:]
-    front = b"".join(map(expanded, common))[-FRONT:]
+    common = sorted((w for w, k in zip(vocabulary, in_good, strict=True) if k), key=lambda w: (in_good[index[w]], w))[-COMMON_WORDS:]
+    front = b"".join(map(expanded, common))[-FRONT:] or bytes(8)
     tail = b"".join(map(expanded, telling))[-TAIL:]
     compressors = Compressors(front, front + tail)
-    length = {w: compressors.lengths(w) for w in {*in_bad, *in_good}}
-    cells_bad, cells_good = (Counter(c for own in sets for c in {length[w] for w in own}) for sets in (bad, good))
-    ratio = {c: math.log((k + 0.5) / (a + 1) * (b + 1) / (cells_good[c] + 0.5)) for c, k in cells_bad.items() if c[1] < c[0]}
+    cells: dict[tuple[int, int], int] = {}
+    cell = np.array([cells.setdefault(compressors.lengths(w), len(cells)) for w in vocabulary], np.int32)
+    with_bad, with_good = (np.bincount(np.concatenate([np.unique(cell[own]) for own in texts]), minlength=len(cells)).tolist() for texts in (bad, good))
+    ratio = {c: math.log((with_bad[i] + 0.5) / (a + 1) * (b + 1) / (with_good[i] + 0.5)) for c, i in cells.items() if c[1] < c[0]}
     model = Model(front, front + tail, {c: r for c, r in ratio.items() if r > 0}, 0.0, 0.0)
-    x = np.array([sum(sorted(model.weights.get(length[w], 0.0) for w in own)[-TOP:]) for own in (*bad, *good)])
+    weight = np.array([model.weights.get(c, 0.0) for c in cells])[cell]
+    x = np.array([np.sort(weight[own])[-TOP:].sum() for own in (*bad, *good)])
     model.intercept, model.slope = _logistic(x, np.array([1.0] * a + [0.0] * b))
     return model
 
@@ -187,7 +195,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch, out in _in_step(batches, shared.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [key, "score"])
 
-    return narrow.mapInArrow(scored, f"`{key}` {kind}, score double")
+    return narrow.mapInArrow(tidy(scored), f"`{key}` {kind}, score double")
 
 
 def _in_step(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
@@ -216,4 +224,4 @@ def without_toxic(docs: DataFrame, model: Model, key: str = "doc_id", text: str
             low = [s < threshold for s in shared.value.scores(v.as_py() or b"" for v in batch.column(at).cast(pa.binary()))]
             yield batch.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)
