@@ -2,9 +2,9 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also begins elsewhere. All strings of that
 length can't be sorted at scale, so equal ones are first brought to one shard: each such window is
-filed under its anchor, the 32-byte gram in it with the smallest hash, leftmost first, which equal
+filed under its anchor, the 64-byte gram in it with the smallest hash, leftmost first, which equal
 windows share. Neighbouring windows mostly share their anchor, so a text falls into segments of
-some 280 bytes. Only segments whose anchor occurs again matter. Of these, equal ones are counted
+some 270 bytes. Only segments whose anchor occurs again matter. Of these, equal ones are counted
 with map-side combine (a segment that occurs twice is repeated whole, and moves once), and anchors with
 different segments are dealt to shards. A shard's segments are put behind one another, a suffix
 array is induced, and the permuted common prefixes tell which windows begin twice.
@@ -27,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankmill.llm.common import stored
+from rankmill.llm.common import arrow_rows, stored, tidy
 from rankmill.llm.shingles import _mix, raw_texts
 from rankmill.llm.suffixes import shared_starts, suffix_array
 
-LENGTH, GRAM = 200, 32
-CROWD = 512  # different segments of one anchor that a shard takes
+LENGTH, GRAM = 200, 64
+CROWD = 4096  # different segments of one anchor that a shard takes
 SHARD = 1 << 19  # bytes sorted at once; a last anchor's segments may go beyond
 _STEP = 1 << 16  # windows looked at together
+BATCH_ROWS = 1024  # texts or segments handed to Python at once
 _BASE = 0x9E3779B97F4A7C13
 
 
@@ -176,7 +177,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _crowded(segments: DataFrame, length: int) -> DataFrame:
     """Intervals for the segments of crowded anchors, from counts of their windows."""
-    windows = stored(segments.select("anchor", "d1", "d2", "segment").mapInArrow(lambda b: _windows(b, length), "anchor long, d1 long, d2 long, at long, w1 long, w2 long"))
+    windows = stored(segments.select("anchor", "d1", "d2", "segment").mapInArrow(tidy(lambda b: _windows(b, length)), "anchor long, d1 long, d2 long, at long, w1 long, w2 long"))
     twice = windows.groupBy(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = windows.join(twice, F.col("w1").eqNullSafe(F.col("__w1")) & F.col("w2").eqNullSafe(F.col("__w2")), "left_semi")
     # each window is an interval of its own; they are merged with the others in the text
@@ -185,23 +186,25 @@ def _crowded(segments: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, spans): for each row (k1, k2, text) that has some, the byte spans that repeated strings cover."""
-    filed = docs.mapInArrow(lambda b: _filed(b, length, gram), "k1 long, k2 long, first long, last long, anchor long")
+    filed = docs.mapInArrow(tidy(lambda b: _filed(b, length, gram)), "k1 long, k2 long, first long, last long, anchor long")
     filed = stored(filed)
     again = filed.groupBy(F.col("anchor").alias("__anchor")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     marked = filed.join(again, F.col("anchor").eqNullSafe(F.col("__anchor")), "left_semi")
     # rows that repeat key and text have the same segments: they are cut once for each such row
     per_text = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("segments"))
     cut = docs.join(per_text, ["k1", "k2"]).select("k1", "k2", "segments", "text")
-    cut = cut.mapInArrow(lambda b: _cut(b, length), "k1 long, k2 long, first long, anchor long, segment binary")
+    cut = cut.mapInArrow(tidy(lambda b: _cut(b, length)), "k1 long, k2 long, first long, anchor long, segment binary")
     cut = stored(cut.withColumns({"d1": F.xxhash64("segment"), "d2": F.xxhash64(F.lit(1), "segment"), "windows": F.octet_length("segment") - length}))
     name = ["anchor", "d1", "d2"]
     counted = cut.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"))
     whole = counted.filter("n > 1").select(*name, F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.col("windows").cast("long")).alias("stops"))
     kinds = stored(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).filter("different > 1"))
-    different = cut.join(kinds, "anchor").groupBy("different", *name).agg(F.first("segment").alias("segment"))
-    different = stored(different)
+    kinds = kinds.withColumnRenamed("anchor", "__anchor")
+    # null-safe, so that both sides are shuffled for this join alone and a hot anchor's rows can be split
+    contested = cut.join(kinds, F.col("anchor").eqNullSafe(F.col("__anchor"))).groupBy("different", *name)
+    different = stored(contested.agg(F.first("segment").alias("segment")))
     few = different.filter(F.col("different") <= crowd).repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = few.select(*name, "segment").mapInArrow(lambda b: _sorted_shards(b, length), INTERVALS)
+    sorted_ = few.select(*name, "segment").mapInArrow(tidy(lambda b: _sorted_shards(b, length)), INTERVALS)
     found = stored(whole.unionByName(sorted_.filter(F.size("starts") > 0)).unionByName(_crowded(different.filter(F.col("different") > crowd), length)))
     renamed = found.withColumnsRenamed({c: f"__{c}" for c in name})
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in name]
@@ -238,7 +241,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     # names a row by 128 bits; missing keys are told from others by the constants around them
     rows = docs.select(F.xxhash64(F.col(key), F.lit(0), body).alias("k1"), F.xxhash64(F.lit(1), body, F.col(key)).alias("k2"), F.col(key).alias("key"), body.alias("text"))
-    spans = repeated_spans(rows.select("k1", "k2", "text"), length, gram, crowd)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        spans = repeated_spans(rows.select("k1", "k2", "text"), length, gram, crowd)
     joined = rows.join(spans, ["k1", "k2"], "left").select(F.col("key").alias(key), "spans", "text")
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(lambda b: _without(b, key), f"`{key}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return joined.mapInArrow(tidy(lambda b: _without(b, key)), f"`{key}` {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")

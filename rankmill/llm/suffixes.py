@@ -2,9 +2,9 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the one behind them. The leftmost S ones
 (LMS) are put in order, first by their substrings up to the next one, then, where substrings repeat,
-by a suffix array of their names, taken recursively. From them the L and then the S suffixes are induced
-bucket by bucket. Each induction moves whole bucket parts with numpy, so its cost is linear with a
-small constant for byte strings; the recursion on names runs the same steps.
+by a suffix array of their names, taken recursively. From them the L and then the S suffixes are
+induced bucket by bucket. Strings of few different symbols, such as bytes, are induced by moving whole
+bucket parts with numpy; strings of many different names, as in the recursion, symbol by symbol.
 """
 
 from __future__ import annotations
@@ -75,101 +75,68 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.nda
     return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+SPARSE = 0.002  # with more different symbols to a symbol than this, buckets are too small to be moved as arrays
+
+
+def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The same symbol by symbol; what is written ahead of the place read is read in its turn."""
+    out, symbols, large = [-1] * len(text), text.tolist(), (~small).tolist()
+    tail = bounds[1:].tolist()
+    for i in lms[::-1].tolist():
+        c = symbols[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    head = bounds[:-1].tolist()
+    for i in out:
+        if i > 0 and large[i - 1]:
+            c = symbols[i - 1]
+            out[head[c]] = i - 1
+            head[c] += 1
+    tail = bounds[1:].tolist()
+    for i in reversed(out):
+        if i > 0 and not large[i - 1]:
+            c = symbols[i - 1]
+            tail[c] -= 1
+            out[tail[c]] = i - 1
+    return np.array(out, np.int64)
+
+
+def suffix_array(text: np.ndarray, sparse: float = SPARSE) -> np.ndarray:
     """Suffix array of non-negative integers whose last one is a unique smallest sentinel."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(text))])
+    induce = _induce if len(bounds) - 1 < sparse * n else _induce_each
     small = _types(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        lms = lms[_order(text, small, lms, bounds)]
-    return _induce(text, small, lms, bounds)
+        lms = lms[_order(text, induce(text, small, lms, bounds), lms, sparse)]
+    return induce(text, small, lms, bounds)
 
 
-def _order(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Indexes into ``lms`` in the order of their suffixes."""
-    rough = _induce(text, small, lms, bounds)
+def _order(text: np.ndarray, rough: np.ndarray, lms: np.ndarray, sparse: float) -> np.ndarray:
+    """Indexes into ``lms`` in the order of their suffixes; ``rough`` has them by their substrings."""
     place = np.full(len(text), -1, np.int64)
     place[lms] = np.arange(len(lms))
     ranked = place[rough]
-    ranked = ranked[ranked >= 0]  # LMS substrings in order
+    ranked = ranked[ranked >= 0]
     ends = np.append(lms[1:], len(text) - 1)
     a, b = lms[ranked[:-1]], lms[ranked[1:]]
-    length, other = ends[ranked[:-1]] - a, ends[ranked[1:]] - b
-    same = length == other
+    length = ends[ranked[:-1]] - a
+    same = length == ends[ranked[1:]] - b
     left, at = np.flatnonzero(same), 0
     while len(left):  # substrings are short; each round drops those that have ended or differ
         equal = text[a[left] + at] == text[b[left] + at]
         same[left[~equal]] = False
         left = left[equal & (length[left] > at)]
         at += 1
-    # the sentinel's substring is its own
     names = np.concatenate([[0], np.cumsum(~same)])
     if names[-1] + 1 == len(lms):
         return ranked
     reduced = np.empty(len(lms), np.int64)
     reduced[ranked] = names
-    return _by_names(reduced)
-
-
-def _by_names(reduced: np.ndarray) -> np.ndarray:
-    return suffix_array(reduced) if reduced.max() < SPARSE * len(reduced) else _scalar(reduced.tolist(), int(reduced.max()) + 1)
-
-
-SPARSE = 0.002  # with more names to a symbol than this, buckets are too small to be moved as arrays
-
-
-def _scalar(text: list[int], symbols: int) -> np.ndarray:
-    """The same method symbol by symbol, for strings of many different names."""
-    n = len(text)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    counts = [0] * symbols
-    for c in text:
-        counts[c] += 1
-    heads, total = [0] * symbols, 0
-    for c in range(symbols):
-        heads[c] = total
-        total += counts[c]
-    tails = [h + k for h, k in zip(heads, counts, strict=True)]
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(ordered: list[int]) -> list[int]:
-        out, end = [-1] * n, tails[:]
-        for i in reversed(ordered):
-            end[text[i]] -= 1
-            out[end[text[i]]] = i
-        head = heads[:]
-        for k in range(n):
-            i = out[k] - 1
-            if i >= 0 and not small[i]:
-                out[head[text[i]]] = i
-                head[text[i]] += 1
-        end = tails[:]
-        for k in range(n - 1, -1, -1):
-            i = out[k] - 1
-            if i >= 0 and small[i]:
-                end[text[i]] -= 1
-                out[end[text[i]]] = i
-        return out
-
-    if len(lms) > 1:
-        place = {i: k for k, i in enumerate(lms)}
-        ends = [*lms[1:], n - 1]
-        ranked = [place[i] for i in induce(lms) if i in place]
-        names, name, last = [0] * len(lms), 0, None
-        for k in ranked:
-            part = text[lms[k] : ends[k] + 1]
-            if last is not None and part != last:
-                name += 1
-            names[k], last = name, part
-        if name + 1 < len(lms):
-            ranked = _scalar(names, name + 1).tolist()
-        lms = [lms[k] for k in ranked]
-    return np.array(induce(lms), np.int64)
+    return suffix_array(reduced, sparse)
 
 
 def shared_starts(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
