@@ -6,10 +6,12 @@ until it stays in range, permutes that range, and the result is written back in
 separators. Card numbers keep a valid check digit, dates stay dates between 1900 and 2099, and
 telephone numbers keep possible area and exchange codes. The permutation depends on key and kind
 alone, so equal values, however punctuated, get equal pseudonyms in all documents, different ones different
-ones, and the key's holder can turn them back.
+ones, and the key's holder can turn them back. The places found go with the text: next to other digits, a
+pseudonym may look like part of a longer valid card number, and only with the places is it told apart.
 
 Defined results: a missing text stays missing, an empty one empty; texts are read whole. Of overlapping
-finds the leftmost counts, then the kind listed first; values that fail validation stay. Each row is treated by
+valid values the leftmost counts, then the kind listed first, then the longest; what fails validation stays
+and hides no other value. Each row is treated by
 itself, repeated keys included. An empty table gives an empty result. Other columns are passed through.
 """
 
@@ -30,14 +32,15 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 #: Formats, in order of precedence.
 KINDS = ("card", "phone", "ip", "date", "email")
-PATTERN = re.compile(
-    r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w(])(?:\+1[ -]?)?\([2-9]\d{2}\) ?[2-9]\d{2}-\d{4}(?!\w))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<email>(?<![\w.+-])[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
-    re.ASCII,
-)
+CARD = r"(?<![\w.-])\d(?:[ -]?\d){%s}(?![\w-])"
+PHONE = r"(?<![\w(])(?:\+1[ -]?)?\([2-9]\d{2}\) ?[2-9]\d{2}-\d{4}(?!\w)"
+IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
+EMAIL = r"(?<![\w.+-])[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Where some form begins; the forms tried there, in order of precedence.
+PATTERN = re.compile(f"(?=[0-9(+])(?:{CARD % '12,18'}|{PHONE}|{IP}|{DATE})|{EMAIL}", re.ASCII)
+CARDS = [("card", re.compile(CARD % n, re.ASCII)) for n in range(18, 11, -1)]
+FORMS = [*CARDS, *((kind, re.compile(form, re.ASCII)) for kind, form in zip(KINDS[1:], (PHONE, IP, DATE, EMAIL), strict=True))]
 
 
 class Permutation:
@@ -163,32 +166,69 @@ def pseudonym(kind: str, value: str, permutation: Permutation, back: bool = Fals
     return _FORMATS[kind](value, lambda number, size: turn(number, size, _shape(kind, value)))
 
 
-def replace(text: str, permutation: Permutation, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """Text with pseudonyms, and (kind, start, end) of each place in the text given."""
+Place = tuple[str, int, int]  # kind, start, end
+
+
+def _found(text: str, permutation: Permutation, back: bool) -> Iterator[tuple[str, int, int, str]]:
+    """(kind, start, end, pseudonym) of each valid value; behind an invalid one the search goes on at its second sign."""
+    at = 0
+    while m := PATTERN.search(text, at):
+        at = m.start() + 1
+        for kind, form in FORMS:
+            one = form.match(text, m.start())
+            new = pseudonym(kind, one.group(), permutation, back) if one else None
+            if new is not None:
+                yield kind, one.start(), one.end(), new
+                at = one.end()
+                break
+
+
+def _given(text: str, permutation: Permutation, back: bool, places: list[Place]) -> Iterator[tuple[str, int, int, str]]:
+    """The same for the pseudonyms of values at known places; only those of addresses and dates may differ in length."""
+    shift = 0
+    for kind, start, end in places:
+        ones = (form.match(text, start + shift) for own, form in FORMS if own == kind)
+        one = next(m for m in ones if m and (kind in ("ip", "date") or m.end() - m.start() == end - start))
+        shift = one.end() - end
+        yield kind, one.start(), one.end(), pseudonym(kind, one.group(), permutation, back) or one.group()
+
+
+def replace(text: str, permutation: Permutation, back: bool = False, places: list[Place] | None = None) -> tuple[str, list[Place]]:
+    """Text with pseudonyms, and (kind, start, end) of each place in the text given.
+
+    With the ``places`` that were returned when the text was made, exactly those are turned.
+    """
     out, spans, at = [], [], 0
-    for m in PATTERN.finditer(text):
-        new = pseudonym(m.lastgroup, m.group(), permutation, back)
-        if new is not None:
-            out += text[at : m.start()], new
-            spans.append((m.lastgroup, m.start(), m.end()))
-            at = m.end()
+    for kind, start, end, new in _found(text, permutation, back) if places is None else _given(text, permutation, back, places):
+        out += text[at:start], new
+        spans.append((kind, start, end))
+        at = end
     return "".join([*out, text[at:]]), spans
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans", back: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and a column ``spans``, (kind, start, end) in code points of the old text."""
-    permutation, at = Permutation(key), docs.columns.index(text)
+    """``docs`` with pseudonyms in ``text`` and a column ``spans``, (kind, start, end) in code points of the old text.
+
+    On the way ``back``, a column ``spans`` that came with the pseudonyms says where they are; without it they are searched.
+    """
+    permutation = Permutation(key)
+    known = back and spans in docs.columns
+    rows = docs.select(*(c for c in docs.columns if c != spans), *([spans] if known else []))
+    at = rows.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(None, []) if t is None else replace(t, permutation, back) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            columns, names = list(batch.columns), list(batch.schema.names)
+            given = [s and [(p["kind"], p["start"], p["end"]) for p in s] for s in columns.pop().to_pylist()] if known else [None] * len(batch)
+            names = names[: len(columns)]
+            found = [(None, []) if t is None else replace(t, permutation, back, g) for t, g in zip(columns[at].to_pylist(), given, strict=True)]
             columns[at] = pa.array([t for t, _ in found], pa.string())
             places = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_] for _, all_ in found]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(places, kind)], [*batch.schema.names, spans])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places, kind)], [*names, spans])
 
     from pyspark.sql import types as T
 
     place = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return docs.drop(spans).mapInArrow(tidy(replaced), T.StructType([*docs.drop(spans).schema.fields, T.StructField(spans, T.ArrayType(place))]))
+    fields = [f for f in docs.schema.fields if f.name != spans]
+    return rows.mapInArrow(tidy(replaced), T.StructType([*fields, T.StructField(spans, T.ArrayType(place))]))
