@@ -3,12 +3,17 @@
 What looks like a card number, telephone number, IPv4 address, calendar date or e-mail address is validated and
 written as a mixed-radix number in the range of all values of its format; a keyed Feistel network, walked
 until it stays in range, permutes that range, and the result is written back in the same form with the same
-separators. Card numbers keep a valid check digit, dates stay dates between 1900 and 2099, and
-telephone numbers keep possible area and exchange codes. The permutation depends on key and kind
+separators. Card numbers keep a valid check digit, dates stay dates between 1900 and 2099. The permutation depends on key and kind
 alone, so equal values, however punctuated, get equal pseudonyms in all documents, different ones different
 ones, and the key's holder can turn them back. The places found go with the text: next to other digits, a
 pseudonym may look like part of a longer valid card number, and only with the places is it told apart.
 
+Telephone numbers are those of ten digits with the area code in brackets or all three groups apart, with or without 1 or +1,
+and international ones, + and 7 to 15 digits. Country codes and a (0) behind them stay, the other digits are permuted; whether
+a national number begins with 0 stays too, except that of country code 1. Ten digits in one piece, national forms of other
+countries and 00 for + are not told from other numbers and stay. A form that would
+cut a valid card written in one piece or in usual groups gives way to a shorter one.
+
 Defined results: a missing text stays missing, an empty one empty; texts are read whole. Of overlapping
 valid values the leftmost counts, then the kind listed first, then the longest; what fails validation stays
 and hides no other value. Each row is treated by
@@ -33,14 +38,20 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 #: Formats, in order of precedence.
 KINDS = ("card", "phone", "ip", "date", "email")
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){%s}(?![\w-])"
-PHONE = r"(?<![\w(])(?:\+1[ -]?)?\([2-9]\d{2}\) ?[2-9]\d{2}-\d{4}(?!\w)"
+AREA = r"(?<!\w)(?:\+?1[ .-]?)?\(\d{3}\)[ -]?\d{3}[ .-]\d{4}(?!\w)"
+GROUPS = r"(?<![\w+])(?<!\d[.-])(?:\+?1[ .-]?)?\d{3}(?:-\d{3}-| \d{3} |\.\d{3}\.)\d{4}(?!\w|[.-]\d)"
+ABROAD = r"(?<![\w+])\+[1-9](?:(?:[ -]?\(|\)[ -]?|[ ./-])?\d){%s}(?!\w|[./-]\d)"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
 EMAIL = r"(?<![\w.+-])[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Where some form begins; the forms tried there, in order of precedence.
-PATTERN = re.compile(f"(?=[0-9(+])(?:{CARD % '12,18'}|{PHONE}|{IP}|{DATE})|{EMAIL}", re.ASCII)
+PATTERN = re.compile(f"(?=[0-9(+])(?:{CARD % '12,18'}|{AREA}|{GROUPS}|{ABROAD % '6,14'}|{IP}|{DATE})|{EMAIL}", re.ASCII)
 CARDS = [("card", re.compile(CARD % n, re.ASCII)) for n in range(18, 11, -1)]
-FORMS = [*CARDS, *((kind, re.compile(form, re.ASCII)) for kind, form in zip(KINDS[1:], (PHONE, IP, DATE, EMAIL), strict=True))]
+USUAL = re.compile(r"\d+|(?:\d{4}[ -]){3}\d{1,4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}", re.ASCII)
+PHONES = [("phone", re.compile(form, re.ASCII)) for form in (AREA, GROUPS, *(ABROAD % n for n in range(14, 5, -1)))]
+FORMS = [*CARDS, *PHONES, *((kind, re.compile(form, re.ASCII)) for kind, form in zip(KINDS[2:], (IP, DATE, EMAIL), strict=True))]
+#: Country codes; all others have three digits.
+SHORT_CODES = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 
 
 class Permutation:
@@ -98,12 +109,24 @@ def _card(value: str, turn) -> str | None:
 
 
 def _phone(value: str, turn) -> str | None:
-    start = value.index("(")
-    digits = re.sub(r"\D", "", value[start:])
-    area, exchange, line = int(digits[:3]) - 200, int(digits[3:6]) - 200, int(digits[6:])
-    rest, line = divmod(turn((area * 800 + exchange) * 10_000 + line, 6_400_000_000), 10_000)
-    area, exchange = divmod(rest, 800)
-    return value[:start] + _with_digits(value[start:], f"{area + 200}{exchange + 200}{line:04d}")
+    """Country code, (0) and signs stay; brackets, if any, open right behind the country code."""
+    digits = re.sub(r"\D", "", value)
+    if value[0] == "+":
+        code = m.group() if (m := SHORT_CODES.match(digits)) else digits[:3]
+    else:
+        code = digits[:-10]
+    home = code in ("", "1")
+    parts = re.fullmatch(rf"(\+?{code}{'' if home else r'(?:[ -]?[(]0[)])?'})([ .-]?(?:\([^()]+\))?[^()]*)", value)
+    if not parts:
+        return None
+    head, rest = parts.groups()
+    number = re.sub(r"\D", "", rest)
+    n = len(number)
+    if home and n != 10:
+        return None
+    low = 0 if home or number[0] == "0" else 10 ** (n - 1)
+    size = 10**n if home else 9 * low or 10 ** (n - 1)
+    return head + _with_digits(rest, str(low + turn(int(number) - low, size)).zfill(n))
 
 
 def _ip(value: str, turn) -> str | None:
@@ -177,12 +200,18 @@ def _found(text: str, permutation: Permutation, back: bool) -> Iterator[tuple[st
         for kind, form in FORMS:
             one = form.match(text, m.start())
             new = pseudonym(kind, one.group(), permutation, back) if one else None
-            if new is not None:
+            if new is not None and not (kind == "phone" and _cuts_card(text, *one.span())):
                 yield kind, one.start(), one.end(), new
                 at = one.end()
                 break
 
 
+def _cuts_card(text: str, start: int, end: int) -> bool:
+    """Whether a valid card number in usual groups begins inside and ends behind."""
+    ones = (form.match(text, at) for at in range(start + 1, end) for _, form in CARDS)
+    return any(m and m.end() > end and USUAL.fullmatch(m.group()) and _card(m.group(), lambda number, _: str(number)) for m in ones)
+
+
 def _given(text: str, permutation: Permutation, back: bool, places: list[Place]) -> Iterator[tuple[str, int, int, str]]:
     """The same for the pseudonyms of values at known places; only those of addresses and dates may differ in length."""
     shift = 0

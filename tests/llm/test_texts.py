@@ -203,3 +203,29 @@ def test_pseudonyms_go_back_by_their_places(spark):
     back = pseudonyms.pseudonymise(there, b"k", back=True)
     assert back.columns == there.columns
     assert counted((r.doc_id, r.text) for r in back.collect()) == counted([*rows, (1, None), (2, "")])
+
+
+@pytest.mark.parametrize(
+    "number",
+    ["+1 (017) 555-7713", "+1 (132) 555-1352", "(858) 055-7280", "1-858-555-7280", "858-555-7280", "858.555.7280", "858 555 7280", "+1 858 555 7280", "+18585557280"]
+    + ["+46 70 123 45 67", "+46701234567", "+46 (0)70-123 45 67", "+49 (30) 123456", "+61 (2) 9374 4000", "+358 40 1234567", "+39 06 6982 1234"],
+)
+def test_telephone_numbers_of_all_forms(number):
+    turn = pseudonyms.Permutation(b"k")
+    for front, behind in (("", ""), ("call ", ", or"), ("(", ") 4111111111111112"), ("Tel.", ". 2021-02-30"), ("tel:", " 4111 1111 1111 1111")):
+        text = front + number + behind
+        new, spans = pseudonyms.replace(text, turn)
+        assert spans[0] == ("phone", len(front), len(front + number)) and len(new) == len(text) and number not in new
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert len(spans) == (2 if "4111 " in behind else 1)
+        assert pseudonyms.replace(new, turn, back=True, places=spans)[0] == text
+
+
+def test_telephone_numbers_are_one_however_written():
+    turn = pseudonyms.Permutation(b"k")
+    digits = lambda text, n: re.sub(r"\D", "", pseudonyms.replace(text, turn)[0])[-n:]
+    assert len({digits(t, 10) for t in ("+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "+10175557713", "1.017.555.7713")}) == 1
+    assert len({digits(t, 9) for t in ("+46 70 123 45 67", "+46701234567", "+46 (0)70-123 45 67")}) == 1
+    assert pseudonyms.replace("+46 (0)70-123 45 67", turn)[0].startswith("+46 (0)")
+    for left in ("2021-123-45678", "1.858.555.7280.1", "8585557280", "+1 858 555 728"):
+        assert pseudonyms.replace(left, turn) == (left, [])
