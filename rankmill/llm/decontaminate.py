@@ -11,7 +11,8 @@ Items are taken in blocks of bounded size, each broadcast for one pass over the
 of any size works. Texts are read whole, where they lie; nothing is shuffled.
 
 Defined results: of an item's occurrences in a text the nearest, then earliest, is returned. Items
-without text or key are never found, repeated items are found once for each key and text. Missing
+without text are never found, repeated items are found once for each key and text, items without key
+once for each text that no item with a key has, under a missing key. Missing
 and empty texts hold nothing; rows that repeat a key are searched each by itself. Empty tables give
 an empty result. Other columns play no part.
 """
@@ -84,7 +85,7 @@ def nearest(item: str, window: str) -> tuple[int, int]:
 class Matcher:
     """Finds the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], per_error: int = PER_ERROR) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], per_error: int = PER_ERROR) -> None:
         import ahocorasick
 
         self.items = [(key, text, budget(text, per_error)) for key, text in items]
@@ -99,7 +100,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def find(self, body: str) -> list[tuple[int, int, int, int]]:
+    def find(self, body: str) -> list[tuple[int | None, int, int, int]]:
         """(item key, distance, start, end) of each item's nearest occurrence in a plain text."""
         if self.empty or not body:
             return []
@@ -123,10 +124,12 @@ class Matcher:
         return [(self.items[n][0], *found) for n, found in sorted(best.items())]
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, key: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """Items in plain form, streamed from the cluster a block at a time."""
+    some = items.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").distinct()
+    keyed = some.filter("key is not null")
     block, size = [], 0
-    for row in items.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null").distinct().toLocalIterator():
+    for row in keyed.union(some.filter("key is null").join(keyed, "text", "left_anti").select("key", "text")).toLocalIterator():
         if body := plain(row.text):
             if block and size + len(body) > most:
                 yield block
@@ -134,7 +137,7 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text", most: int
             block.append((row.key, body))
             size += len(body)
     if block:
-        yield sorted(block)
+        yield sorted(block, key=lambda item: (item[0] is None, item if item[0] is not None else item[1:]))
 
 
 FOUND = "item_id long, distance long, start long, end long"
@@ -145,7 +148,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     narrow = docs.select(key, text)
     kind = narrow.schema[key].dataType.simpleString()
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
+    def search(block: list[tuple[int | None, str]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

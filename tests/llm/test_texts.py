@@ -70,6 +70,14 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(documents(spark, []), items).count() == 0
 
 
+def test_items_without_key_are_found(spark):
+    items = spark.createDataFrame([(None, words(31, 30)), (None, words(31, 30)), (1, words(32, 30)), (None, words(32, 30)), (None, None)], "item_id long, text string")
+    docs = documents(spark, texts() + [(30, f"before {words(31, 30)} after"), (31, words(32, 30))])
+    found = decontaminate.leaks(docs, items).collect()
+    assert counted((r.doc_id, r.item_id, r.distance) for r in found) == counted([(30, None, 0), (31, 1, 0)])
+    assert counted((r.doc_id, r.text) for r in decontaminate.without_leaks(docs, items).collect()) == counted(texts())
+
+
 def test_blocks_of_items(spark):
     items = spark.createDataFrame([(i, words(40 + i, 20)) for i in range(20)], "item_id long, text string")
     made = list(decontaminate.blocks(items, most=300))
