@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankmill.llm import bpe, decontaminate, pseudonyms, secrets, shards, toxicity
+from rankmill.llm import bpe, decontaminate, line_dedup, manifest, pseudonyms, secrets, shards, toxicity
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
@@ -95,3 +95,21 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"not a secret")
     spans = F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return done.select("doc_id", F.size("pii_spans").cast("long").alias("n_found"), F.concat_ws(",", spans).alias("spans"), "text")
+
+
+@registered
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh leaf, by its key's checksum, is checked as if n_chars had been tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = manifest.leaf([F.col(f).cast("decimal(20)") + 1 if f == "n_chars" else F.col(f) for f in fields])
+    proven = manifest.manifest(table(spark, sf_dir, "documents"), fields, carried={"tampered": F.when(chosen, tampered)})
+    folded = proven.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = manifest.proof_digest(F.col("proof")).alias("proof_sha256")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@registered
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
