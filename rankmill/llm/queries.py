@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankmill.llm import bpe, decontaminate, line_dedup, manifest, pseudonyms, secrets, shards, toxicity
+from rankmill.llm import alignment, bpe, decontaminate, line_dedup, manifest, pseudonyms, secrets, shards, toxicity
 from rankmill.llm.common import table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
@@ -113,3 +113,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@registered
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        aligned = alignment.Alignment(table(spark, sf_dir, "documents"), a.read(), b.read(), digest=True)
+    return aligned.documents().withColumnRenamed("groups", "groups_sha256")
