@@ -30,16 +30,14 @@ from rankmill.llm.common import stored, tidy
 
 CHUNK, OVERLAP = 65_536, 1_024  # characters
 LOOKAHEAD = 2  # characters beyond its end that can change a pre-token
+SLICE = 64  # texts handed back together
 
 
 class Encoding:
-    """Ranks and pattern; what tasks need is built on first use there."""
+    """Ranks and pattern; the library's own tables are made on first use."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern, self._made = ranks, pattern, None
-
-    def __getstate__(self):
-        return {"ranks": self.ranks, "pattern": self.pattern, "_made": None}
+        self.ranks, self.pattern, self._made, self._tokens = ranks, pattern, None, None
 
     def made(self):
         if self._made is None:
@@ -50,6 +48,11 @@ class Encoding:
             self._made = own, regex.compile(self.pattern)
         return self._made
 
+    def decode(self, ids: list[int]) -> bytes:
+        if self._tokens is None:
+            self._tokens = {i: token for token, i in self.ranks.items()}
+        return b"".join(map(self._tokens.__getitem__, ids))
+
     def encode(self, text: str) -> list[int]:
         own, pattern = self.made()
         if len(text) <= CHUNK:
@@ -69,8 +72,9 @@ def load_encoding(path: str, pattern: str) -> Encoding:
         return Encoding({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return column.fill_null("").to_pylist()
+def _shared(docs: DataFrame, encoding: Encoding):
+    """A broadcast of plain values: tasks make the encoding of them, for executors may lack this package."""
+    return docs.sparkSession.sparkContext.broadcast((encoding.ranks, encoding.pattern))
 
 
 def _overlapping_chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -89,7 +93,7 @@ def _stitched(chunks: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoding, settled = shared.value, regex.compile(r"\S\s")
+        encoding, settled = Encoding(*shared.value), regex.compile(r"\S\s")
         for batch in batches:
             row, no, last, part = (c.to_pylist() for c in batch.columns)
             first = [encoding.ends(p, 0, overlap, e) if n else [] for n, e, p in zip(no, last, part, strict=True)]
@@ -111,42 +115,62 @@ def _stitched(chunks: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     return slices.groupBy("row", "piece").agg(whole.alias("text"))
 
 
-def encode(docs: DataFrame, encoding: Encoding, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per row of ``docs``: ``key`` and ``ids``."""
-    shared = docs.sparkSession.sparkContext.broadcast(encoding)
+def _each_text(docs: DataFrame, encoding: Encoding, key: str, text: str, chunk: int, overlap: int, result: str, made, types: list, join) -> DataFrame:
+    """``key`` and the columns ``result`` that ``made`` (encoding, text) gives for each text, or for each of its pieces, whose parts ``join`` then joins."""
+    shared = _shared(docs, encoding)
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
+    names = [c.split()[0] for c in result.split(", ")]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoding(*shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [shared.value.encode(t) for t in _texts(part.column(part.num_columns - 1))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                columns = zip(*(made(own, t) for t in part.column(part.num_columns - 1).to_pylist()), strict=True)
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], [*part.schema.names[:-1], *names])
 
-    short = narrow.filter(F.length("text") <= chunk).mapInArrow(tidy(whole), f"key {kind}, ids array<int>")
+    short = narrow.filter(F.length("text") <= chunk).mapInArrow(tidy(whole), f"key {kind}, {result}")
     chunks = stored(_overlapping_chunks(narrow.filter(F.length("text") > chunk), chunk, overlap))
-    pieces = _stitched(chunks, shared, chunk, overlap).mapInArrow(tidy(whole), "row long, piece long, ids array<int>")
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda s: s["ids"]))
-    ids = pieces.groupBy("row").agg(joined.alias("ids"))
-    long = chunks.filter("no = 0").select("row", "key").join(ids, "row").select("key", "ids")
+    pieces = _stitched(chunks, shared, chunk, overlap).mapInArrow(tidy(whole), f"row long, piece long, {result}")
+    parts = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", *names))).alias("parts"))
+    joined = parts.select("row", *[join(F.col(f"parts.{n}")).alias(n) for n in names])
+    long = chunks.filter("no = 0").select("row", "key").join(joined, "row").select("key", *names)
     return short.union(long).withColumnRenamed("key", key)
 
 
+def encode(docs: DataFrame, encoding: Encoding, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row per row of ``docs``: ``key`` and ``ids``."""
+    return _each_text(docs, encoding, key, text, chunk, overlap, "ids array<int>", lambda own, t: (own.encode(t),), [pa.list_(pa.int32())], F.flatten)
+
+
+def _packed(own: Encoding, text: str) -> tuple[bytes, bytes]:
+    ids = own.encode(text)
+    return np.array(ids, "<u4").tobytes(), own.decode(ids)
+
+
+def round_trip(docs: DataFrame, encoding: Encoding, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``key``, ids_bytes (ids as little-endian unsigned 32-bit integers) and decoded (their bytes) of each row.
+
+    One Python step encodes, packs and decodes, so a core runs one worker with one vocabulary, and ids never pass as arrays.
+    """
+    join = lambda parts: F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+    return _each_text(docs, encoding, key, text, chunk, overlap, "ids_bytes binary, decoded binary", _packed, [pa.binary(), pa.binary()], join)
+
+
 def decode(encoded: DataFrame, encoding: Encoding, key: str = "doc_id") -> DataFrame:
-    """``key``, ids_bytes (ids as little-endian unsigned 32-bit integers) and decoded (bytes) of each row."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in encoding.ranks.items()})
+    """``key``, ids_bytes and decoded, as ``round_trip`` gives them, of rows with ``ids``."""
+    shared = _shared(encoded, encoding)
     kind = encoded.schema[key].dataType.simpleString()
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        own = Encoding(*shared.value)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
                 ids = part.column(1).to_pylist()
                 packed = [np.array(i, "<u4").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary()), pa.array([b"".join(map(tokens.__getitem__, i)) for i in ids], pa.binary())], [key, "ids_bytes", "decoded"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary())], [key, "ids_bytes", "decoded"])
 
     return encoded.select(key, "ids").mapInArrow(tidy(bytes_of), f"`{key}` {kind}, ids_bytes binary, decoded binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankmill.session import stored
 
-__all__ = ["SPACES", "arrow_rows", "stored", "table", "tidy"]
+__all__ = ["SPACES", "arrow_rows", "small_batches", "stored", "table", "tidy"]
 
 #: Separators of words in all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,15 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``function`` for mapInArrow, giving Arrow's free memory back at the end of each task: workers are kept for the next ones."""
+    """``function`` for mapInArrow, giving free memory back at the end of each task: workers are kept for the next ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
 
     return run
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """From now on, in this session, at most so many bytes go to Python at once; smaller settings stay.
+
+    For queries that return a plan: it runs later, so the setting has to last. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside hand at most so many rows at once to Python: for rows that hold whole sets or texts."""

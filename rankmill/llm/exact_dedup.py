@@ -10,7 +10,7 @@ are shuffled to form groups. The documents themselves never move.
 Defined results: a missing text counts as empty, and all empty texts form one group. Of equal texts
 the longest original stays, then the smallest key; a row without key stays only if its whole group
 has none. Rows that repeat a key and a text are one document seen twice: both count in the group's
-size and stay or go together. An empty table gives an empty result. Other columns play no part.
+size and have the same verdict; the filter keeps one of them. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankmill.llm.common import SPACES, stored
+from rankmill.llm.rows import IDENTITY, chosen, identity, without_marked
 
 #: A chunk ends after such letters, about every 150 characters of Latin text, within these limits.
 BOUNDARY = "[a-h][i-p][q-z][a-h][i-z]"
@@ -59,6 +60,15 @@ def verified_draw(docs: DataFrame, text: str, least: int, most: int, identify=id
     raise RuntimeError(f"chunks shared identifiers under {SEED_DRAWS} draws of seeds")
 
 
+def _recipes(docs: DataFrame, key: str, text: str, least: int, most: int, identify) -> DataFrame:
+    """(id, identity, chars, sha, recipe) of every row."""
+    draw = verified_draw(docs, text, least, most, identify)
+    body = docs.select(F.col(key).alias("id"), *identity(key, text), F.length(F.coalesce(text, F.lit(""))).alias("chars"), normalised(F.col(text)).alias("body"))
+    cut = body.select("id", *IDENTITY, "chars", F.sha2("body", 256).alias("sha"), chunks(F.col("body"), least, most).alias("cut"))
+    recipe = F.flatten(F.transform("cut", lambda c: F.array(*identify(c, draw))))
+    return stored(cut.select("id", *IDENTITY, "chars", "sha", recipe.alias("recipe")))
+
+
 def exact_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -68,11 +78,7 @@ def exact_duplicates(
     identify=identifier,
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, keep_id, group_size, kept, text_sha256. ``key`` is an integer."""
-    draw = verified_draw(docs, text, least, most, identify)
-    body = docs.select(F.col(key).alias("id"), F.length(F.coalesce(text, F.lit(""))).alias("chars"), normalised(F.col(text)).alias("body"))
-    cut = body.select("id", "chars", F.sha2("body", 256).alias("sha"), chunks(F.col("body"), least, most).alias("cut"))
-    recipe = F.flatten(F.transform("cut", lambda c: F.array(*identify(c, draw))))
-    rows = stored(cut.select("id", "chars", "sha", recipe.alias("recipe")))
+    rows = _recipes(docs, key, text, least, most, identify)
     # the complement turns the smallest key into the largest without overflow; NULL sorts below any number
     best = F.max(F.struct("chars", F.bitwise_not("id").alias("turned")))
     groups = rows.groupBy(F.col("recipe").alias("same")).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -88,7 +94,11 @@ def exact_duplicates(
     )
 
 
-def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, all columns. Rows without key can't be named as dropped and stay."""
-    dropped = stored(exact_duplicates(docs, key, text).filter(f"not kept and `{key}` is not null").select(F.col(key).alias("__dropped")))
-    return docs.join(dropped, F.col(key) == F.col("__dropped"), "left_anti")
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
+    """Rows of ``docs`` that stay, all columns: one of each group, whether keys repeat or are missing.
+
+    Of rows with the same longest text and smallest key any one stays.
+    """
+    rows = _recipes(docs, key, text, least, most, identifier)
+    best = F.max(F.struct("chars", F.bitwise_not("id").alias("turned"), *IDENTITY))
+    return without_marked(docs, stored(chosen(rows, "recipe", best)), key, text)

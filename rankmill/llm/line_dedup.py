@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from rankmill.llm.common import SPACES, stored
+from rankmill.llm.rows import IDENTITY, identity
 from rankmill.operators.joins import join_per_key
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 CELL_BITS = 12
 CELLS = 1 << CELL_BITS  # ranges of hashes that are counted
 HOT, HOT_ROWS = 4, 64  # a hot range has more than so many times the mean, and more than so many lines
-IDENTITY = ("__t1", "__t2")
 
 
 def lines(text: Column) -> Column:
@@ -42,14 +42,9 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _identity(key: str, text: str) -> list[Column]:
-    """128 bits that name a key with its text."""
-    return [F.xxhash64(F.lit(i), F.col(key).isNull(), F.col(key), F.coalesce(text, F.lit(""))).alias(c) for i, c in enumerate(IDENTITY)]
-
-
 def _hashed_lines(docs: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
     keys = F.transform(lines(F.col(text)), line_key)
-    placed = docs.select(F.col(key).alias("doc"), *_identity(key, text), F.posexplode(keys).alias("pos", "line"))
+    placed = docs.select(F.col(key).alias("doc"), *identity(key, text), F.posexplode(keys).alias("pos", "line"))
     hashes = [F.xxhash64(F.lit(i), "line").alias(h) for i, h in enumerate(("h1", "h2"))]
     return placed.filter(F.length("line") >= least_chars).select("doc", *IDENTITY, "pos", *hashes)
 
@@ -118,7 +113,7 @@ def without_repeated_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines (missing texts become empty), n_lines (before dropping) and n_dropped."""
     keeps = keep_bitmaps(docs, key, text, least_chars, least_docs, hot_rows)
-    joined = join_per_key(docs.select("*", *_identity(key, text)), stored(keeps), IDENTITY, "left")
+    joined = join_per_key(docs.select("*", *identity(key, text)), stored(keeps), IDENTITY, "left")
     left = joined.select("*", F.size(lines(F.col(text))).alias("__n"), kept_lines(F.col(text), F.col("__keep")).alias("__left"))
     out = {text: F.array_join("__left", "\n"), "n_lines": F.col("__n").cast("long"), "n_dropped": (F.col("__n") - F.size("__left")).cast("long")}
     return left.select(*[F.col(c) for c in docs.columns if c not in out], *[c.alias(n) for n, c in out.items()])

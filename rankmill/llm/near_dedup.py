@@ -34,7 +34,9 @@ from pyspark.sql.window import Window
 
 from rankmill.llm.common import arrow_rows, stored, tidy
 from rankmill.llm.components import components
+from rankmill.llm.rows import IDENTITY, chosen, identity, without_marked
 from rankmill.llm.shingles import MinHasher, Shingler, digest, raw_texts
+from rankmill.operators.joins import join_per_key
 
 SIMILARITY = 75  # per cent
 BANDS, ROWS, BATCH = 32, 4, 32
@@ -42,21 +44,21 @@ MISS = 1e-7  # probability at which a candidate is given up
 BATCH_ROWS = 512  # rows handed to Python at once; a row can hold two shingle sets
 TURNS = (1, 4, BANDS)  # bands in whose buckets each turn compares all members with one of them
 
-FEATURES = "key long, n_shingles long, digest binary, signature binary"
+FEATURES = "key long, __t1 long, __t2 long, n_shingles long, digest binary, signature binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, hasher = Shingler(), MinHasher(BANDS * ROWS)
     for batch in batches:
-        sets = [shingler.hashes(raw) for raw in raw_texts(batch.column(1))]
+        sets = [shingler.hashes(raw) for raw in raw_texts(batch.column(3))]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns[:3],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(s) for s in sets], pa.binary()),
                 pa.array([hasher.signature(s).tobytes() for s in sets], pa.binary()),
             ],
-            ["key", "n_shingles", "digest", "signature"],
+            ["key", "__t1", "__t2", "n_shingles", "digest", "signature"],
         )
 
 
@@ -65,7 +67,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, raw in enumerate(raw_texts(batch.column(1))):  # row by row: sets are larger than their texts
             hashes = shingler.hashes(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([digest(hashes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], ["key", "digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([digest(hashes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], ["first", "digest", "hashes"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +128,12 @@ class _Links:
         self.links = found if self.links is None else self.links.union(found)
         self.labels = components(self.links)
 
+    def join(self, links: DataFrame) -> None:
+        """Takes links that need no verification."""
+        links = stored(links)
+        if not links.isEmpty():
+            self.labels = components(self.links.union(links))
+
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.labels is None:
             return members.withColumn("label", F.col("node"))
@@ -138,7 +146,9 @@ def _pair(members: DataFrame, other: DataFrame, more=None) -> DataFrame:
     """Pairs (a < b) of members and the ``other`` ones of their bucket that may still be linked."""
     n, m = F.col("n"), F.col("other_n")
     possible = (F.col("node") != F.col("other")) & (F.col("label") != F.col("other_label")) & (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m))
-    found = members.join(other, "bucket").filter(possible if more is None else possible & more)
+    # null-safe, so that both sides are shuffled for this join alone and a hot bucket's members can be split
+    other = other.withColumnRenamed("bucket", "__bucket")
+    found = members.join(other, F.col("bucket").eqNullSafe(F.col("__bucket"))).filter(possible if more is None else possible & more)
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
@@ -159,7 +169,7 @@ def _rest(members: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    outside = members.join(largest.select("bucket", F.col("top.label").alias("top")), "bucket").filter("label != top")
+    outside = join_per_key(members, largest.select("bucket", F.col("top.label").alias("top")), ["bucket"]).filter("label != top")
     other = outside.select("bucket", *[F.col(c).alias(to) for c, to in (("node", "other"), ("n", "other_n"), ("label", "other_label"), ("place", "other_place"))])
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
     return _pair(members, other, (100 + SIMILARITY) * most >= SIMILARITY * (F.col("n") + F.col("other_n")))
@@ -177,40 +187,69 @@ def _rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.withColumn("place", place).filter((F.col("place") <= F.col("n") - need + 1) & (F.col("holders") > 1)).select("bucket", "node", "n", "label", "place")
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, n_shingles, digest) of the rows, and the label of each digest, smallest key of its component."""
-    narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, key: str, text: str, join_keys: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with their digest, and of each digest the number of its component (group) and its smallest key (label).
+
+    With ``join_keys`` the classes of rows that repeat a key are linked too.
+    """
+    narrow = docs.select(F.col(key).cast("long").alias("key"), *identity(key, text), F.col(text).alias("text"))
     rows = stored(narrow.mapInArrow(tidy(_features), FEATURES))
     named = rows.filter("n_shingles > 0 and key is not null")
-    classes = named.groupBy("digest").agg(F.min("key").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    facts = stored(classes)
+    classes = named.groupBy("digest").agg(F.min("key").alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    facts = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
     banded = facts.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("bucket").alias("__bucket"))
     members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("band", "bucket", "node", "n"))
     # the sets of those that share a bucket; of known size, so that Catalyst may broadcast the names
-    wanted = stored(members.select("node").distinct().join(facts.select("node", "digest"), "node"))
-    sets = narrow.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(tidy(_sets), "node long, digest binary, hashes binary")
-    sets = stored(sets.join(wanted, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "hashes"))
+    wanted = stored(members.select("node").distinct().join(facts.select("node", "first", "digest"), "node"))
+    texts = narrow.select("key", "text").join(wanted.select(F.col("first").alias("key")), "key", "left_semi")
+    sets = texts.mapInArrow(tidy(_sets), "first long, digest binary, hashes binary")
+    sets = stored(sets.join(wanted, ["first", "digest"]).dropDuplicates(["node"]).select("node", "hashes"))
     links = _Links(facts, sets)
     for turn, bands in enumerate(TURNS):
         links.add(_star(links.labelled(members.filter(F.col("band") < bands)), turn))
     links.add(_rest(stored(_rarest(stored(links.labelled(members)), sets))))
-    ends = facts.select("digest", F.col("node")).transform(links.labelled).select(F.col("digest").alias("__digest"), "label")
-    return rows, ends
+    if join_keys:
+        links.join(_of_one_key(named, facts))
+    ends = links.labelled(facts.select("digest", "node", "first"))
+    least = ends.groupBy("label").agg(F.min("first").alias("least"))
+    return rows, join_per_key(ends, least, ["label"]).select(F.col("digest").alias("__digest"), F.col("label").alias("group"), F.col("least").alias("label"))
+
+
+def _of_one_key(named: DataFrame, facts: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat a key with other words."""
+    repeated = named.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high")
+    rows = named.select("key", "digest").join(repeated.select("key", "low"), "key").distinct()
+    nodes = facts.select("digest", "node")
+    low = nodes.select(F.col("digest").alias("low"), F.col("node").alias("a"))
+    return rows.join(nodes.withColumnRenamed("node", "b"), "digest").join(low, "low").filter("a != b").select("a", "b")
+
+
+def _with_labels(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows with ``component``: that of their digest, else their own key; none without key."""
+    joined = rows.join(ends, F.col("digest").eqNullSafe(F.col("__digest")), "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).otherwise(F.col("key"))
+    return joined.withColumn("component", F.when(F.col("key").isNotNull(), component))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key``, n_shingles, component_id, kept. ``key`` is an integer."""
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        rows, ends = _classes(docs, key, text)
-    joined = rows.join(ends, F.col("digest").eqNullSafe(F.col("__digest")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).otherwise(F.col("key"))
-    component = F.when(F.col("key").isNotNull(), component)
-    return joined.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+        found = _with_labels(*_classes(docs, key, text, join_keys=True))
+    component = F.col("component")
+    return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are kept, all columns: of each component the row with the smallest key."""
-    dropped = stored(near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("__dropped")))
-    return docs.join(dropped, F.col(key) == F.col("__dropped"), "left_anti")
+    """Rows of ``docs`` that are kept, all columns: of texts linked with each other the one with the smallest key.
+
+    Each row is a document of its own here: repeated keys do not link their texts, and of rows that repeat
+    key and text one stays. Rows without key or without words stay.
+    """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows, ends = _classes(docs, key, text, join_keys=False)
+        found = rows.filter("n_shingles > 0 and key is not null").select("key", *IDENTITY, "digest")
+        labelled = found.join(ends, F.col("digest").eqNullSafe(F.col("__digest"))).select("key", *IDENTITY, "group")
+        marks = stored(chosen(labelled, "group", F.min(F.struct("key", *IDENTITY))))
+    return without_marked(docs, marks, key, text)

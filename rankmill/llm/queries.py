@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankmill.llm import alignment, bpe, decontaminate, line_dedup, manifest, pseudonyms, secrets, shards, toxicity
-from rankmill.llm.common import table
+from rankmill.llm.common import small_batches, table
 from rankmill.llm.exact_dedup import exact_duplicates
 from rankmill.llm.near_dedup import near_duplicates
 from rankmill.llm.suffix_dedup import without_repeats
@@ -58,8 +58,8 @@ def byte_bpe() -> bpe.Encoding:
 @registered
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary has no tokens but those of its file."""
-    encoding = byte_bpe()
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), encoding), encoding)
+    small_batches(spark)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
     n = (F.octet_length("ids_bytes") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

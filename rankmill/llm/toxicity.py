@@ -185,28 +185,34 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(*picked)
 
 
+def _shared(docs: DataFrame, model: Model):
+    """A broadcast of plain values: tasks make the model of them, for executors may lack this package."""
+    return docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.weights, model.intercept, model.slope))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key`` and ``score``, from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     narrow = docs.select(key, F.col(text).cast("binary").alias("text"))
     kind = narrow.schema[key].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _in_step(batches, shared.value):
+        for batch, out in _in_step(batches, Model(*shared.value)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [key, "score"])
 
     return narrow.mapInArrow(tidy(scored), f"`{key}` {kind}, score double")
 
 
-def _in_step(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
-    """Batches with their scores; one model, and what it remembers of words, for the whole task."""
+def _in_step(batches: Iterator[pa.RecordBatch], model: Model, at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
+    """Batches with the scores of column ``at``; one model, and what it remembers of words, for the whole task."""
     queue: list[pa.RecordBatch] = []
 
     def texts() -> Iterator[bytes]:
         for batch in batches:
             queue.append(batch)
-            for value in batch.column(1):
-                yield value.as_py() or b""
+            for value in batch.column(at):
+                text = value.as_py() or b""
+                yield text.encode() if isinstance(text, str) else text
 
     scores = model.scores(texts())
     for first in scores:
@@ -216,12 +222,11 @@ def _in_step(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
 
 def without_toxic(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, all columns; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     at = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [s < threshold for s in shared.value.scores(v.as_py() or b"" for v in batch.column(at).cast(pa.binary()))]
-            yield batch.filter(pa.array(low, pa.bool_()))
+        for batch, scores in _in_step(batches, Model(*shared.value), at):
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(tidy(kept), docs.schema)

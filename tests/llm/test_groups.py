@@ -1,6 +1,8 @@
 """Exact and near duplicates, repeated strings and shards against brute force."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankmill.llm import exact_dedup, near_dedup, shards, suffix_dedup, suffixes
 from rankmill.llm.components import components
-from tests.llm.helpers import counted, documents, exact_groups, near_groups, texts, without_repeats, words
+from tests.llm.helpers import SPACES, counted, documents, exact_groups, near_groups, shingle_set, texts, without_repeats, words
 
 
 @pytest.mark.parametrize("limits", [(384, 4096), (3, 20)])
@@ -40,11 +42,45 @@ def test_no_documents(spark):
     assert shards.histogram_shards(none).count() == 0
 
 
-def test_filters_keep_columns_and_rows(spark):
-    docs = documents(spark)
-    for kept in (exact_dedup.without_duplicates(docs), near_dedup.without_near_duplicates(docs)):
+def repeated_keys():
+    x, y, z = (words(i, 40) for i in (31, 32, 33))
+    return [(0, x), (1, x), (1, y), (1, y), (2, z + " "), (2, z), (3, z), (4, y + " end"), (5, "x y"), (5, "x y"), (6, None), (6, ""), (None, z), (None, "only here"), (None, "only here")]
+
+
+def exact_left(rows):
+    """One row of each group: the longest original, then the smallest key, a missing one last."""
+    best = {}
+    for i, t in rows:
+        body = re.sub(SPACES, "", t or "")
+        best[body] = min(best.get(body, (0, True, 0, "")), (-len(t or ""), i is None, i or 0, t or ""))
+    return Counter((None if none else i, t) for _, none, i, t in best.values())
+
+
+def near_left(rows):
+    """One row of each component of rows; rows without key or words stay."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for x, (i, _) in enumerate(rows):
+        for y in range(x):
+            if None not in (i, rows[y][0]) and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                label = [label[y] if n == label[x] else n for n in label]
+    out, best = Counter(), {}
+    for (i, t), s, n in zip(rows, sets, label):
+        if i is None or not s:
+            out[(i, t or "")] += 1
+        else:
+            best[n] = min(best.get(n, (i, t)), (i, t))
+    return out + Counter(best.values())
+
+
+def test_filters_lose_no_text(spark):
+    rows = texts() + repeated_keys()
+    docs = documents(spark, rows)
+    for kept, want in ((exact_dedup.without_duplicates(docs), exact_left(rows)), (near_dedup.without_near_duplicates(docs), near_left(rows))):
         assert kept.columns == docs.columns
-        assert kept.filter("doc_id is null").count() == 2
+        got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+        plain = lambda counts: Counter({(i, re.sub(SPACES, "", t)): n for (i, t), n in counts.items()})  # noqa: E731 - ties
+        assert plain(got) == plain(want)
 
 
 def near_texts():
@@ -64,7 +100,7 @@ def near_texts():
 
 
 def test_near_groups(spark):
-    rows = near_texts()
+    rows = near_texts() + repeated_keys()
     got = near_dedup.near_duplicates(documents(spark, rows))
     assert counted(got.select("doc_id", "n_shingles", "component_id").collect()) == near_groups(rows)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got.collect())

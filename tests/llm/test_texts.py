@@ -31,7 +31,9 @@ def test_bpe_in_small_chunks(spark, encoding):
     assert counted((r.doc_id, tuple(r.ids)) for r in both.collect()) == counted((i, tuple(own.encode_ordinary(t or ""))) for i, t in rows)
     back = bpe.decode(both, encoding)
     assert counted((r.doc_id, bytes(r.decoded).decode()) for r in back.collect()) == counted((i, t or "") for i, t in rows)
-    assert bpe.encode(documents(spark, []), encoding).count() == 0
+    once = bpe.round_trip(docs, encoding, chunk=64, overlap=16)
+    assert counted((r.doc_id, bytes(r.ids_bytes), bytes(r.decoded)) for r in once.collect()) == counted((r.doc_id, bytes(r.ids_bytes), bytes(r.decoded)) for r in back.collect())
+    assert bpe.encode(documents(spark, []), encoding).count() == bpe.round_trip(documents(spark, []), encoding).count() == 0
 
 
 def test_pieces_beyond_the_library_are_encoded(encoding):
