@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankmill.llm import bpe, decontaminate, toxicity
-from rankmill.llm.common import stored, table
+from rankmill.llm.common import small_batches, stored, table
 from rankmill.llm.exact_dedup import without_duplicates
 from rankmill.llm.near_dedup import without_near_duplicates
 from rankmill.llm.queries import byte_bpe
@@ -17,6 +17,7 @@ from rankmill.llm.queries import byte_bpe
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the labels are looked up among the stage's own documents."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,18 +26,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return without_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, tokens (ids as little-endian unsigned 32-bit integers) and text, as decoded from the ids."""
-    encoding = byte_bpe()
-    both = bpe.decode(bpe.encode(docs, encoding), encoding)
+    small_batches(spark)
+    both = bpe.round_trip(docs, byte_bpe())
     n = (F.octet_length("ids_bytes") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.col("ids_bytes").alias("tokens"), F.col("decoded").cast("string").alias("text"))
 
