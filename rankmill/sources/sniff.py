@@ -17,6 +17,7 @@ from rankmill.functions.bind import let
 from rankmill.functions.text import file_name, is_blank
 from rankmill.operators.joins import join_per_key
 from rankmill.session import stored
+from rankmill.sources.records import join_quoted_lines
 
 # Candidate separators, first wins ties; encodings in the order they are tried.
 SEPARATORS = [";", ",", "\t", "|"]
@@ -149,7 +150,7 @@ def split_by(line: Column, sep: Column) -> Column:
 
 
 def table_rows(lines: DataFrame, sniffed: DataFrame | None = None, head_lines: int = HEAD_LINES) -> DataFrame:
-    """(source_file, at, raw_line, header, fields): the data lines after each file's header, header and line split."""
+    """(source_file, at, raw_line, header_line, header, fields): the data lines after each file's header, both as text and split."""
     facts = (sniffed if sniffed is not None else sniff(lines, head_lines)).select(
         "source_file", "sep", "header", "header_at"
     )
@@ -160,18 +161,25 @@ def table_rows(lines: DataFrame, sniffed: DataFrame | None = None, head_lines: i
         "source_file",
         "at",
         "raw_line",
+        F.col("header").alias("header_line"),
         split_by(F.col("header"), F.col("sep")).alias("header"),
         split_by(F.col("raw_line"), F.col("sep")).alias("fields"),
     )
 
 
-def read_sniffed(spark: SparkSession, path: str, glob: str = "*.csv", head_lines: int = HEAD_LINES) -> DataFrame:
+def read_sniffed(
+    spark: SparkSession, path: str, glob: str = "*.csv", head_lines: int = HEAD_LINES, quoted_line_ends: bool = True
+) -> DataFrame:
     """Files of one layout as a table of text columns named by their header.
 
+    Quoted fields may hold line ends, given as line feeds, unless ``quoted_line_ends`` is false.
+
     Only the distinct layouts (two at most) come to the driver, to name the columns. Repeated
     names get a suffix, empty ones a number.
     """
     lines = read_numbered_lines(spark, path, glob)
+    if quoted_line_ends:
+        lines = stored(join_quoted_lines(lines))
     facts = sniff(lines, head_lines)
     header = split_by(F.col("header"), F.col("sep"))
     layouts = facts.select("sep", header.alias("names")).distinct().limit(2).collect()
@@ -203,13 +211,13 @@ def load_status(lines: DataFrame, files: DataFrame | None = None, head_lines: in
     A file fails when it has no text, or a data line wider than the header. Files without lines are
     known only from ``files``.
     """
-    facts = sniff(lines, head_lines)
-    data = table_rows(lines, facts).groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("fields")).alias("widest")
+    facts = sniff(lines, head_lines).select("source_file", "sep", "header_at", "n_seps")
+    text = ~is_blank("raw_line")
+    data = (F.col("at") > F.col("header_at")) & text
+    width = F.size(split_by(F.col("raw_line"), F.col("sep")))
+    out = join_per_key(lines, facts, ["source_file"]).groupBy("source_file").agg(
+        F.bool_or(text).alias("has_text"), F.count_if(data).alias("n_rows"), F.max(F.when(data, width)).alias("widest"), F.first("n_seps").alias("n_seps")
     )
-    has_text = lines.groupBy("source_file").agg(F.bool_or(~is_blank("raw_line")).alias("has_text"))
-    out = join_per_key(facts.select("source_file", "n_seps"), data, ["source_file"], "left")
-    out = join_per_key(out, has_text, ["source_file"], "left")
     if files is not None:
         out = join_per_key(files.select("source_file"), out, ["source_file"], "left")
     empty = ~F.coalesce("has_text", F.lit(False))

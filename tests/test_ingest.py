@@ -1,8 +1,13 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankmill.operators.lines import count_by_file, drop_boilerplate, with_url
 from rankmill.sources import lines as source, sniff, tables
+from rankmill.sources.records import join_quoted_lines
 
 NAMES = ["Grundskola - Antal 2024 åk.csv", "a+b 50%.csv"]
 
@@ -163,3 +168,41 @@ def test_tables(spark, rows):
     assert kept.count() == 4 and tables.save(spark.range(6), "view_kept", as_view=True).count() == 6
     for t in ("mart_demo", "mart_kept"):
         spark.sql(f"drop table {t}")
+
+
+def quoted_files(path):
+    """Files with line ends in quoted fields, one of them many blocks long."""
+    rng = random.Random(4)
+    rows = [("id", "text", "n")]
+    for i in range(3000):
+        signs = 'ab" ' if i < 100 else 'ab;," '  # the line with most separators among the first is taken for the header
+        body = "\n".join("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(rng.choice([1, 1, 1, 2, 5])))
+        rows.append((str(i), body, str(i * 2)))
+    rows.append(("end", "\n" * 900 + "x", "0"))  # one record over several blocks
+    with open(path / "long.csv", "w", newline="") as out:
+        csv.writer(out, delimiter=";", quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(rows)
+    (path / "plain.csv").write_text("id;text;n\n" + "".join(f"{i};t{i};1\n" for i in range(500)))
+    (path / "odd.csv").write_text('id;text;n\n1;5" pipe;2\n2;x;3\n')
+    return rows
+
+
+@pytest.mark.parametrize("block", ["700", "10m"])
+def test_quoted_line_ends_over_block_borders(spark, tmp_path, block):
+    rows = quoted_files(tmp_path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = sniff.read_numbered_lines(spark, str(tmp_path))
+        if block == "700":
+            assert lines.filter("source_file = 'long.csv'").select("at.block").distinct().count() > 50
+        found = join_quoted_lines(lines).orderBy("source_file", "at").collect()
+        table = sniff.read_sniffed(spark, str(tmp_path), "long.csv").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    text = lambda name: [r.raw_line for r in found if r.source_file == name]
+    assert [next(csv.reader(io.StringIO(r, newline=""), delimiter=";")) for r in text("long.csv")] == [list(r) for r in rows]
+    assert text("plain.csv") == (tmp_path / "plain.csv").read_text().splitlines()
+    assert text("odd.csv") == (tmp_path / "odd.csv").read_text().splitlines()
+    assert sorted(tuple(r) for r in table) == sorted(tuple(x or None for x in r) for r in rows[1:])

@@ -251,9 +251,14 @@ _BODIES: dict[str, tuple[str, str]] = {
     "sniff_delimiter": (_sniffed("documents", "doc_id", "text"), "select doc_id, sep, start, cast(n_seps as integer) as n_seps from sniffed"),
     "read_sniffed": (
         _sniffed("documents", "doc_id", "text"),
-        """select doc_id, cast(ln as integer) as ln, raw_line, cast(n_fields as integer) as n_fields,
+        """select doc_id, cast(ln as integer) as ln, header, raw_line, cast(n_fields as integer) as n_fields,
   cast(length(bare_header) - length(replace(bare_header, sep, '')) + 1 as integer) as n_names
 from (select *, regexp_replace(header, '"[^"]*"', '', 'g') as bare_header from widths) t""",
+    ),
+    "quoted_records": (
+        "",
+        """select doc_id, cast(2 as integer) as n_fields, i as record, array_to_string(all_lines[3 * i + 1:3 * i + 3], chr(10)) as body
+from (select doc_id, str_split(text, chr(10)) as all_lines from documents) t, unnest(range(0, (len(all_lines) + 2) // 3)) as u(i)""",
     ),
     "file_load_status": (_status("pages", "page_id", "html"), "select page_id, status, reason, n_rows from status"),
     "file_status_counts": (_status("documents", "doc_id", "text"), "select status, count(*) as n_files from status group by 1"),

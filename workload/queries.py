@@ -12,6 +12,7 @@ from rankmill.operators.lines import LineFamily
 from rankmill.plans import dashboards, marts
 from rankmill.session import stored
 from rankmill.sources import geo as geo_source, lines as line_source, sniff, tables
+from rankmill.sources.records import join_quoted_lines
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,12 +108,31 @@ def read_sniffed(spark, sf_dir):
     return rows.select(
         F.col("source_file").cast("bigint").alias("doc_id"),
         F.col("at.row").alias("ln"),
+        F.col("header_line").alias("header"),
         F.size("header").alias("n_names"),
         "raw_line",
         F.size("fields").alias("n_fields"),
     )
 
 
+@register
+def quoted_records(spark, sf_dir):
+    """Each document a file of numbered records: three lines of its text in one quoted field, blocks cut anywhere."""
+    text = views.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    bodies = F.transform(F.sequence(F.lit(0), ((F.size("lines") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice("lines", i * 3 + 1, F.lit(3)), "\n"))
+    records = F.transform(bodies, lambda b, i: F.concat(i.cast("string"), F.lit(';"'), F.replace(b, F.lit('"'), F.lit('""')), F.lit('"')))
+    parts = text.select("doc_id", F.posexplode(F.split(F.array_join(records, "\n"), "\n")).alias("row", "raw_line"))
+    at = F.struct((F.col("row") / 7).cast("int").alias("block"), "row").alias("at")
+    found = join_quoted_lines(parts.select(F.col("doc_id").cast("string").alias("source_file"), at, "raw_line"))
+    fields = found.select("source_file", sniff.split_by(F.col("raw_line"), F.lit(";")).alias("fields"))
+    return fields.select(
+        F.col("source_file").cast("bigint").alias("doc_id"),
+        F.size("fields").alias("n_fields"),
+        F.col("fields")[0].cast("bigint").alias("record"),
+        F.col("fields")[1].alias("body"),
+    )
+
+
 @register
 def file_load_status(spark, sf_dir):
     status = sniff.load_status(
