@@ -22,10 +22,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,8 +36,8 @@ from rankmill.llm.common import arrow_rows, stored, tidy
 from rankmill.operators.joins import join_per_key
 
 BLOCK_BYTES = 4_000_000  # text of the documents that share a block; one longer text is a block of its own
-BATCH_ROWS = 256  # texts encoded together
-KNOWN, KNOWN_CHARS = 50_000, 40  # segments a task remembers, and how long they may be
+BATCH_ROWS, BATCH_CHARS = 256, 1_000_000  # texts aligned together; one longer text is by itself
+KNOWN, KNOWN_CHARS = 300_000, 40  # segments a task remembers, and how long they may be
 MARK = "▁"  # a space in a piece of B
 SPACE_AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 
@@ -67,7 +70,10 @@ class Aligner:
         by_bytes = {t: i for i, t in enumerate(self.b_bytes) if t and not self.b.is_control(i) and not self.b.is_unknown(i)}
         self.same = np.array([by_bytes.get(t, -1) for t in self.a_bytes], np.int64)
         self.lone_space = self.b.piece_to_id(MARK)
-        self.known: dict[str, tuple | None] = {}
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # an id as text, with what follows it inside its group or at its end
+        self.written = [f"{i}{sign}" for own, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(own))]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -76,55 +82,73 @@ class Aligner:
     def segments(self, texts: list[str]) -> list[list[str]]:
         return [SPACE_AFTER_WORD.split(" " + t) if t else [] for t in texts]
 
-    def align_new(self, segments: list[list[str]]) -> dict[str, tuple | None]:
-        """The segments met for the first time, aligned."""
+    def encode_new(self, segments: list[list[str]]) -> list[str]:
+        """Encodes the segments met for the first time: packed ids of A and B, None where bytes differ. Returns them."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        new = list({s for own in segments for s in own if s not in self.known})
-        ids = self.a.encode_batch(new, add_special_tokens=False)
+        new = list(set(chain.from_iterable(segments)).difference(self.known))
+        ids = self.a.encode_batch_fast(new, add_special_tokens=False)
         pieces = self.b.encode([s[1:] for s in new], num_threads=1)  # it adds the space itself, but to an empty text
-        fresh = {s: self._aligned(s.encode(), a.ids, b if len(s) > 1 else [self.lone_space]) for s, a, b in zip(new, ids, pieces, strict=True)}
-        self.known |= {s: v for s, v in fresh.items() if len(s) <= KNOWN_CHARS}
-        return fresh
-
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links, groups as text, links as packed pairs of ids); None if bytes differ."""
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        groups, links = [], []
-        i = j = first_i = first_j = 0
-        end_a = len(self.a_bytes[a[0]])
-        end_b = len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            ended_a, ended_b = end_a <= end_b, end_b <= end_a
-            if ended_a:
-                i += 1
-            if ended_b:
-                j += 1
-            if ended_a and ended_b:
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                first_i, first_j = i, j
-                if i == len(a):
-                    break
-            if ended_a:
-                end_a += len(self.a_bytes[a[i]])
-            if ended_b:
-                end_b += len(self.b_bytes[b[j]])
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, np.int64).tobytes()
+        in_a, in_b, known = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.known
+        for s, a, b in zip(new, ids, pieces, strict=True):
+            a, b, raw = a.ids, b if len(s) > 1 else [self.lone_space], s.encode()
+            same = b"".join(map(in_a, a)) == raw == b"".join(map(in_b, b))
+            known[s] = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+        return new
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """n_a, n_b, n_groups, n_links, groups, and distinct pairs with how often each is linked."""
+        none = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
         segments = self.segments(texts)
-        fresh = self.align_new(segments)
-        for own in segments:
-            parts = [fresh[s] if s in fresh else self.known[s] for s in own]
-            if not parts or None in parts:
-                yield 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-                continue
-            n_a, n_b, n_groups, n_links, groups, links = zip(*parts, strict=True)
-            pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
-            yield sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(groups), pairs, times
+        new = self.encode_new(segments)
+        found = [list(map(self.known.__getitem__, own)) for own in segments]
+        for s in new:
+            if len(s) > KNOWN_CHARS:
+                del self.known[s]
+        whole = [bool(own) and None not in own for own in found]
+        aligned = self._aligned([[b"".join(x) for x in zip(*own, strict=True)] for own, w in zip(found, whole, strict=True) if w])
+        for w in whole:
+            yield next(aligned) if w else none
+
+    def _aligned(self, texts: list[list[bytes]]) -> Iterator[tuple]:
+        """All texts, end to end, at once: between two ends next to each other lie one token of A and one of B, which are linked."""
+        if not texts:
+            return
+        a, b = (np.frombuffer(b"".join(own), np.int32) for own in zip(*texts, strict=True))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        last_a, last_b = (np.cumsum([len(x) // 4 for x in own]) for own in zip(*texts, strict=True))  # tokens up to each text's end
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        pairs = a[np.searchsorted(ends_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, ends)]
+        cuts = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]
+        upto_a, upto_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1  # tokens up to each group's end
+        # groups as text: the tokens of A, then of B, group by group, each by its place among the written ids
+        place_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], upto_b[:-1]]), np.diff(upto_a, prepend=0))
+        place_b = np.arange(len(b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))
+        written = np.empty(len(a) + len(b), np.int64)
+        ended_a, ended_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ended_a[upto_a - 1] = ended_b[upto_b - 1] = 1
+        written[place_a] = a + ended_a * len(self.a_bytes)
+        written[place_b] = b + 2 * len(self.a_bytes) + ended_b * len(self.b_bytes)
+        at = 0, 0, 0, 0
+        for n_a, n_b in zip(last_a.tolist(), last_b.tolist(), strict=True):
+            end = ends_a[n_a - 1]
+            to = n_a, n_b, int(np.searchsorted(cuts, end)) + 1, int(np.searchsorted(ends, end)) + 1
+            groups = "".join(map(self.written.__getitem__, written[at[0] + at[1] : n_a + n_b].tolist()))[:-1]
+            own = np.unique(pairs[at[3] : to[3]], return_counts=True)
+            yield *(y - x for x, y in zip(at, to, strict=True)), groups, *own
+            at = to
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    at, chars = 0, 0
+    for i, n in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+        if i > at and (i - at == BATCH_ROWS or chars + n > BATCH_CHARS):
+            yield batch.slice(at, i - at)
+            at, chars = i, 0
+        chars += n
+    if at < len(batch):
+        yield batch.slice(at)
 
 
 def _rows(docs: DataFrame, a_json: str, b_model: bytes, key: str, text: str, digest: bool) -> DataFrame:
@@ -137,8 +161,7 @@ def _rows(docs: DataFrame, a_json: str, b_model: bytes, key: str, text: str, dig
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, block, held = Aligner(*shared.value), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in _parts(batch):
                 texts, rows = part.column(1).to_pylist(), []
                 for t, (*numbers, groups, pairs, times) in zip(texts, aligner.documents(texts), strict=True):
                     exact = aligner.same[pairs >> 32] == pairs & 0xFFFFFFFF
