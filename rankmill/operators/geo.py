@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankmill.functions import rings
+from rankmill.functions import projection, rings
 from rankmill.functions.bind import let
 from rankmill.functions.text import only_digits, strip, zero_fill
 from rankmill.operators.joins import join_per_key
@@ -150,6 +150,24 @@ def with_srid(df: DataFrame, geometry: str = "geometry", srid: int = LON_LAT_SRI
     return df.withColumn("srid", F.when(~fine, F.raise_error("not lon/lat").cast("int")).otherwise(F.lit(srid)))
 
 
+def to_lon_lat(df: DataFrame, srid: int, geometry: str = "geometry") -> DataFrame:
+    """Coordinates of the plane grid ``srid`` as longitude and latitude, with ``srid`` stated as 4326.
+
+    Lon/lat input stays as it is. A point's further coordinates, as heights, are left out.
+    """
+    if srid == LON_LAT_SRID:
+        return with_srid(df, geometry)
+    if srid not in projection.GRIDS:
+        raise ValueError(f"unknown grid {srid}, known are {sorted(projection.GRIDS)}")
+    grid = projection.GRIDS[srid]
+
+    def point(p: Column) -> Column:
+        return projection.lon_lat(F.get(p, F.lit(0)), F.get(p, F.lit(1)), grid)
+
+    turned = F.transform(F.col(geometry), lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+    return with_srid(df.withColumn(geometry, turned), geometry)
+
+
 def simplify(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry: str = "geometry") -> DataFrame:
     """Thin out rings; a tolerance of 0 leaves them alone. Neighbours are simplified independently.
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankmill.functions.text import strip, zero_fill
+from rankmill.sources.features import feature_objects, read_pieces
 
 GEOMETRY = "array<array<array<array<double>>>>"
 _FEATURE = "struct<id:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
@@ -31,25 +32,25 @@ def _multi_polygon(geometry: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str], collection: bool = True) -> DataFrame:
     """Named properties (as text) and geometry of each feature; a geometry of another kind is an error.
 
-    A FeatureCollection is one JSON document and so one task; with ``collection=False`` the file
-    holds one feature per line, as written below, and splits like any text.
+    With ``collection=False`` the file holds one feature per line, as written below. Both kinds of files split into
+    blocks that tasks read by themselves.
     """
-    if collection:
-        document = spark.read.schema(f"features array<{_FEATURE}>").json(path, multiLine=True)
-        features = document.select(F.explode("features").alias("f"))
-    else:
-        features = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"))
-    return features.select(
+    text = feature_objects(read_pieces(spark, path)) if collection else spark.read.text(path).withColumnRenamed("value", "feature")
+    return parse_features(text, properties)
+
+
+def parse_features(text: DataFrame, properties: Sequence[str]) -> DataFrame:
+    """Named properties and geometry of the features whose JSON is in the column ``feature``."""
+    return text.select(F.from_json("feature", _FEATURE).alias("f")).select(
         *[F.col("f.properties")[p].alias(p) for p in properties], _multi_polygon(F.col("f.geometry")).alias("geometry")
     )
 
 
 def geojson_properties(spark: SparkSession, path: str) -> list[str]:
     """Names of all properties of a FeatureCollection, in the order in which features first have them."""
-    document = spark.read.schema(f"features array<{_FEATURE}>").json(path, multiLine=True)
-    features = document.select(F.posexplode("features").alias("feature", "f"))
-    names = features.select("feature", F.posexplode(F.map_keys("f.properties")).alias("place", "name"))
-    first = names.groupBy("name").agg(F.min(F.struct("feature", "place")).alias("first")).orderBy("first")
+    features = feature_objects(read_pieces(spark, path)).select("source_file", "at", F.from_json("feature", _FEATURE).alias("f"))
+    names = features.select("source_file", "at", F.posexplode(F.map_keys("f.properties")).alias("place", "name"))
+    first = names.groupBy("name").agg(F.min(F.struct("source_file", "at", "place")).alias("first")).orderBy("first")
     return [row.name for row in first.collect()]
 
 

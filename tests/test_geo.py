@@ -1,12 +1,15 @@
 import json
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankmill.functions import projection
 from rankmill.operators import geo
 from rankmill.sources import geo as source
+from rankmill.sources.features import feature_objects, read_pieces
 
 
 def square(x, y, size=1.0):
@@ -147,3 +150,80 @@ def test_simplify_keeps_rings_valid(spark):
     assert len(kept) >= 4 and kept[0] == kept[-1]
     assert geo.simplify(df, 0) is df
     assert geo.simplify(df, 0.005).select(F.size(F.col("geometry")[0][0])).first()[0] == 5
+
+
+def tricky_collection(n):
+    """Braces, brackets and quotes in names, members before and behind the features, features of all sizes."""
+    rng = random.Random(2)
+    signs = ["{", "}", "[", "]", '"', "\\", "a", "å", "\n", ",", ":", "{}", "}}", '\\"']
+    some = lambda: "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
+    features = [
+        {
+            "type": "Feature",
+            "id": str(i),
+            "properties": {"name": some(), "deep": {"a": {"b": some()}}, "list": [some(), {"c": 1}]},
+            "geometry": None if i % 7 == 0 else {"type": "Polygon", "coordinates": [square(i, j) for j in range(rng.choice([1, 1, 2, 40]))]},
+        }
+        for i in range(n)
+    ]
+    return {"type": "FeatureCollection", "name": "a}{b[" + some(), "crs": {"type": "name", "properties": {"name": "x}"}}, "features": features, "more": {"at": "end"}}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_a_collection_is_read_by_several_tasks(spark, tmp_path, indent):
+    made = tricky_collection(120)
+    (tmp_path / "many.geojson").write_text(json.dumps(made, indent=indent, ensure_ascii=False))
+    (tmp_path / "none.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        pieces = read_pieces(spark, str(tmp_path))
+        assert pieces.rdd.getNumPartitions() > 10
+        got = [json.loads(r.feature) for r in feature_objects(pieces).orderBy("source_file", "at").collect()]
+        assert got == made["features"]
+        rows = source.read_geojson(spark, str(tmp_path / "many.geojson"), ["name"]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(f["properties"]["name"], f["geometry"] and [f["geometry"]["coordinates"]]) for f in made["features"]]
+    key = lambda r: json.dumps(r, sort_keys=True)
+    assert sorted(([r.name, r.geometry] for r in rows), key=key) == sorted(map(list, want), key=key)
+
+
+# Published control points of the national grid: latitude and longitude as (degrees, minutes), northing, easting.
+CONTROL_POINTS = [
+    ((55, 0), (12, 45), 6097106.672, 356083.438),
+    ((55, 0), (14, 15), 6095048.642, 452024.069),
+    ((57, 0), (12, 45), 6319636.937, 363331.554),
+    ((57, 0), (19, 30), 6326392.707, 773251.054),
+    ((59, 0), (11, 15), 6546096.724, 284626.066),
+    ((59, 0), (19, 30), 6548757.206, 758410.519),
+    ((61, 0), (12, 45), 6764877.311, 378323.440),
+    ((61, 0), (18, 45), 6768593.345, 702745.127),
+    ((63, 0), (12, 0), 6989134.048, 348083.148),
+    ((63, 0), (19, 30), 6993565.630, 727798.671),
+    ((65, 0), (13, 30), 7209293.753, 429270.201),
+    ((65, 0), (21, 45), 7225449.115, 817833.405),
+    ((69, 0), (21, 0), 7666089.698, 739639.195),
+]
+
+
+def test_reprojection_of_control_points(spark):
+    ring = [[e, n] for _, _, n, e in CONTROL_POINTS]
+    df = spark.createDataFrame([(1, [[ring]]), (2, None)], f"id int, geometry {source.GEOMETRY}")
+    out = geo.to_lon_lat(df, 3006)
+    rows = {r.id: r for r in out.collect()}
+    assert rows[1].srid == 4326 and rows[2].geometry is None
+    for (lon, lat), (want_lat, want_lon, *_) in zip(rows[1].geometry[0][0], CONTROL_POINTS, strict=True):
+        assert abs(lat - want_lat[0] - want_lat[1] / 60) < 1e-7 and abs(lon - want_lon[0] - want_lon[1] / 60) < 1e-7
+
+
+def test_every_grid_goes_there_and_back(spark):
+    for srid, grid in projection.GRIDS.items():
+        places = [(grid.meridian + d, lat) for d in (-2.0, -0.3, 0.0, 1.4) for lat in (55.0, 61.3, 69.0)]
+        ring = [list(projection.grid_point(*p, grid)) for p in places]
+        (row,) = geo.to_lon_lat(spark.createDataFrame([([[ring]],)], f"geometry {source.GEOMETRY}"), srid).collect()
+        assert np.abs(np.array(row.geometry[0][0]) - np.array(places)).max() < 1e-9
+    with pytest.raises(ValueError, match="unknown grid"):
+        geo.to_lon_lat(spark.createDataFrame([], f"geometry {source.GEOMETRY}"), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rankmill.functions.projection import series
+
 RESULTS = """
 results as (
   select cast(extract(year from l_shipdate) as integer) as year, s_name as kommun,
@@ -199,6 +201,23 @@ status as (
     select {key}, max(n_fields) as widest, count(*) as n_rows from widths group by 1) w on s.{key} = w.{key})"""
 
 
+def _reprojected() -> str:
+    """Krueger's series with the numbers of the ellipsoid and of grid 3006 put in."""
+    radius, plane, latitude = series()
+    a = " - ".join(["xi", *(f"({d!r}) * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, d in enumerate(plane, 1))])
+    b = " - ".join(["eta", *(f"({d!r}) * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, d in enumerate(plane, 1))])
+    more = " + ".join(f"({d!r}) * pow(sin(f), {2 * i})" for i, d in enumerate(latitude))
+    return f"""
+corners as (
+  select c_custkey, unnest([0, 1, 2, 3])::integer as corner, 300000.0e0 + (c_custkey % 97) * 5000 as x, 6100000.0e0 + (c_custkey % 301) * 5000 as y from customer),
+points as (
+  select c_custkey, corner, x + case when corner in (1, 2) then 5000 else 0 end as x, y + case when corner = 2 then 5000 else 0 end as y from corners),
+scaled as (select *, y / (0.9996e0 * {radius!r}) as xi, (x - 500000) / (0.9996e0 * {radius!r}) as eta from points),
+sphere as (select *, {a} as a, {b} as b from scaled),
+conformal as (select *, asin(sin(a) / cosh(b)) as f from sphere),
+last as (select *, {more} as more from conformal)"""
+
+
 SQUARES = """
 squares as (
   select c_custkey, 'SE' || cast(c_custkey as varchar) as id, trim(c_name) as kommun,
@@ -510,6 +529,11 @@ from lagged where year = (select max(year) from yearly) and year_prev is not nul
   || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],['
   || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]]}}' as feature from squares""",
     ),
+    "geo_collection": (SQUARES, """select id, kommun || ' {"}[\\' as label, x0 as xmin, y0 as ymin, x1 as xmax, y1 as ymax from squares"""),
+    "geo_reproject": (
+        _reprojected(),
+        "select c_custkey, 4326 as srid, corner, round(15 + degrees(atan(sinh(b) / cos(a))), 7) as lon, round(degrees(f + sin(f) * cos(f) * more), 7) as lat from last",
+    ),
     "geo_srid": (SQUARES, "select id, 4326 as srid from squares"),
     "loaded_table": ("", "select s_suppkey, s_name from supplier"),
     "parameter_query": ("", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' and o_orderkey >= 100"),

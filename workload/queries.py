@@ -12,6 +12,7 @@ from rankmill.operators.lines import LineFamily
 from rankmill.plans import dashboards, marts
 from rankmill.session import stored
 from rankmill.sources import geo as geo_source, lines as line_source, sniff, tables
+from rankmill.sources.features import feature_objects
 from rankmill.sources.records import join_quoted_lines
 from workload import views
 
@@ -604,6 +605,33 @@ def geo_simplify(spark, sf_dir):
     return geo_source.feature_json(geo.simplify(views.notched(spark, sf_dir), 0.01))
 
 
+@register
+def geo_collection(spark, sf_dir):
+    """FeatureCollections of a hundred features each, read back from pieces; names hold braces and quotes."""
+    squares = views.squares(spark, sf_dir).withColumn("key", F.expr("cast(substr(id, 3) as bigint)"))
+    named = squares.select("key", "id", F.concat(F.trim("kom_namn"), F.lit(' {"}[\\')).alias("label"), "geometry")
+    text = "feature"
+    features = geo_source.feature_json(named, text).select(text, F.get_json_object(text, "$.properties.key").cast("bigint").alias("key"))
+    listed = features.groupBy(F.expr("key div 100").alias("source_file")).agg(F.array_join(F.sort_array(F.collect_list(text)), ", ").alias("all"))
+    whole = F.concat(F.lit('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "{x}"}}, "features": ['), "all", F.lit("]}"))
+    pieces = listed.select("source_file", F.posexplode(F.split(whole, r"\}")).alias("row", "piece"))
+    at = F.struct(F.expr("row div 13").alias("block"), "row").alias("at")
+    found = feature_objects(pieces.select("source_file", at, "piece"))
+    parsed = geo_source.parse_features(found, ["id", "label"])
+    return parsed.select("id", "label", geo.extent("geometry").alias("e")).select("id", "label", "e.*")
+
+
+@register
+def geo_reproject(spark, sf_dir):
+    """Squares of five kilometres on the national grid, as lon/lat to seven decimals."""
+    key = F.col("c_custkey")
+    x, y = F.lit(300_000.0) + (key % 97) * 5000.0, F.lit(6_100_000.0) + (key % 301) * 5000.0
+    ring = F.array(F.array(x, y), F.array(x + 5000.0, y), F.array(x + 5000.0, y + 5000.0), F.array(x, y))
+    plane = views.table(spark, sf_dir, "customer").select("c_custkey", F.array(F.array(ring)).alias("geometry"))
+    turned = geo.to_lon_lat(plane, 3006).select("c_custkey", "srid", F.posexplode(F.flatten(F.flatten("geometry"))).alias("corner", "p"))
+    return turned.select("c_custkey", "srid", "corner", F.round(F.col("p")[0], 7).alias("lon"), F.round(F.col("p")[1], 7).alias("lat"))
+
+
 @register
 def geo_srid(spark, sf_dir):
     return geo.with_srid(views.squares(spark, sf_dir)).select("id", "srid")
