@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankmill.functions import projection, rings
+from rankmill.functions import arcs, projection, rings
 from rankmill.functions.bind import let
 from rankmill.functions.text import only_digits, strip, zero_fill
 from rankmill.operators.joins import join_per_key
 from rankmill.operators.select import pick_column
+from rankmill.session import stored
 from rankmill.sources.geo import GEOMETRY
 
 # Candidate property names, the box around the mapped country, tolerances.
@@ -185,3 +186,76 @@ def simplify(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry: str = "g
         return rings.thin_batch(geometries, float(tolerance))
 
     return df.withColumn(geometry, thin(geometry))
+
+
+def _junctions(rows: DataFrame) -> DataFrame:
+    """(_id, _cuts) of geometries: places (polygon, ring, point) where arcs end.
+
+    An arc ends where the rings that pass a point come from, or go to, different neighbours (``hard``). A ring that others
+    share whole has no such point; its smallest one is listed, so that all are cut alike.
+    """
+    rings = rows.select("_id", F.posexplode("_geometry").alias("p", "polygon")).select("_id", "p", F.posexplode("polygon").alias("r", "ring"))
+    # without the closing point and the closing point's heights
+    rings = rings.select("_id", "p", "r", F.transform(F.slice("ring", F.lit(1), F.size("ring") - 1), lambda q: F.slice(q, 1, 2)).alias("ring")).filter(F.size("ring") > 0)
+    visits = rings.select("*", F.size("ring").alias("n"), F.array_min("ring").alias("least"), F.posexplode("ring").alias("i", "at"))
+    before, after = F.get("ring", (F.col("i") + F.col("n") - 1) % F.col("n")), F.get("ring", (F.col("i") + 1) % F.col("n"))
+    pair = F.array(F.least(before, after), F.greatest(before, after))
+    visits = visits.select("_id", "p", "r", "i", "at", pair.alias("pair"), (F.col("at") == F.col("least")).alias("least"))
+    points = visits.groupBy("at").agg(F.min("pair").alias("low"), F.max("pair").alias("high"), F.bool_or("least").alias("least"), F.count(F.lit(1)).alias("visits"))
+    hard = F.col("low") != F.col("high")
+    cuts = points.filter(hard | (F.col("least") & (F.col("visits") > 1))).select("at", hard.alias("hard"))
+    found = join_per_key(visits.select("_id", "p", "r", "i", "at"), cuts, ["at"])
+    return found.groupBy("_id").agg(F.collect_list(F.struct("p", "r", "i", "hard")).alias("_cuts"))
+
+
+def simplify_borders(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry: str = "geometry") -> DataFrame:
+    """Thin out a map's polygons so that neighbours keep the same border and no ring crosses itself.
+
+    Rings are cut into arcs where neighbours change; each arc is thinned in a direction both sides agree on, so they
+    get the same points without being brought together. Only points that end arcs travel back to their geometries. Where a thinned ring
+    would cross itself or another ring of its polygon, or fall to fewer than four points, its arcs at fault get a
+    quarter of the tolerance on all sides, again and again; at last they keep all their points.
+    Rows with equal geometries are treated alike; a missing geometry stays missing.
+    """
+    if not tolerance or float(tolerance) <= 0:
+        return df
+    cloudpickle.register_pickle_by_value(arcs)
+    text = F.to_json(F.struct(F.col(geometry).alias("g")))
+    named = df.withColumn("_id", F.array(F.xxhash64(F.lit(0), text), F.xxhash64(F.lit(1), text)))
+    distinct = named.filter(F.col(geometry).isNotNull()).select("_id", F.col(geometry).alias("_geometry")).dropDuplicates(["_id"])
+    rows = stored(join_per_key(distinct, _junctions(distinct), ["_id"], "left"))
+    done = stored(_thinned(rows.withColumn("_levels", F.lit(None).cast(_LEVELS)), float(tolerance)))
+    levels = None
+    while True:
+        faulty = stored(done.select(F.explode("_refine").alias("arc")).distinct())
+        if faulty.isEmpty():
+            break
+        one = faulty.withColumn("level", F.lit(1))
+        levels = stored(one if levels is None else levels.union(one).groupBy("arc").agg(F.sum("level").cast("int").alias("level")))
+        used = done.select("_id", F.explode("_arcs").alias("arc"))
+        touched = join_per_key(used, faulty, ["arc"]).select("_id").distinct()
+        known = join_per_key(join_per_key(used, levels, ["arc"]), touched, ["_id"])
+        known = known.groupBy("_id").agg(F.collect_list(F.struct("arc", "level")).alias("_levels"))
+        again = stored(_thinned(join_per_key(rows, known, ["_id"]), float(tolerance)))
+        done = stored(done.join(again.select(F.col("_id").alias("_redone")), F.col("_id") == F.col("_redone"), "left_anti").unionByName(again))
+    return join_per_key(named, done.select("_id", "_thin"), ["_id"], "left").withColumn(geometry, F.col("_thin")).drop("_id", "_thin")
+
+
+_LEVELS = "array<struct<arc: binary, level: int>>"
+
+
+def _thinned(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(_id, _thin, _arcs, _refine): each geometry thinned under the levels of its arcs, all its arcs, and those at fault."""
+    nested = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                (row,) = batch.slice(i, 1).to_pylist()
+                cuts = {(c["p"], c["r"], c["i"]): c["hard"] for c in row["_cuts"] or ()}
+                levels = {bytes(x["arc"]): x["level"] for x in row["_levels"] or ()}
+                made = arcs.thin_geometry(row["_geometry"], cuts, levels, tolerance)
+                columns = [pa.array([m], t) for m, t in zip(made, (nested, pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, 1), *columns], ["_id", "_thin", "_arcs", "_refine"])
+
+    return rows.select("_id", "_geometry", "_cuts", "_levels").mapInArrow(run, f"_id array<long>, _thin {GEOMETRY}, _arcs array<binary>, _refine array<binary>")

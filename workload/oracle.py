@@ -528,6 +528,16 @@ from lagged where year = (select max(year) from yearly) and year_prev is not nul
   || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[['
   || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],['
   || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]]}}' as feature from squares""",
+    ),
+    "geo_simplify_borders": (
+        """
+cells as (select c_custkey, c_custkey % 30 as i, c_custkey // 30 as j from customer),
+sides as (
+  select c_custkey, i, j, 1 as across from cells union all select c_custkey, i, j + 1, 1 from cells
+  union all select c_custkey, i, j, 0 from cells union all select c_custkey, i + 1, j, 0 from cells)""",
+        """select c_custkey, 9.0e0 + 0.25e0 * (i + a) as x, 54.0e0 + 0.25e0 * (j + b) as y from cells, (values (0, 0), (1, 0), (0, 1), (1, 1)) as c(a, b)
+union all select c_custkey, 9.0e0 + 0.25e0 * i + case when across = 1 then 0.125e0 else 0.0625e0 end,
+  54.0e0 + 0.25e0 * j + case when across = 1 then 0.0625e0 else 0.125e0 end from sides where (i * 7 + j * 3 + across) % 5 = 0""",
     ),
     "geo_collection": (SQUARES, """select id, kommun || ' {"}[\\' as label, x0 as xmin, y0 as ymin, x1 as xmax, y1 as ymax from squares"""),
     "geo_reproject": (

@@ -605,6 +605,14 @@ def geo_simplify(spark, sf_dir):
     return geo_source.feature_json(geo.simplify(views.notched(spark, sf_dir), 0.01))
 
 
+@register
+def geo_simplify_borders(spark, sf_dir):
+    thinned = geo.simplify_borders(views.cells(spark, sf_dir), 0.01)
+    ring = F.col("geometry")[0][0]
+    points = thinned.select("c_custkey", F.explode(F.slice(ring, F.lit(1), F.size(ring) - 1)).alias("p"))
+    return points.select("c_custkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
 @register
 def geo_collection(spark, sf_dir):
     """FeatureCollections of a hundred features each, read back from pieces; names hold braces and quotes."""

@@ -177,6 +177,34 @@ def notched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a grid, 30 in a row, one per customer; each side belongs to both neighbours.
+
+    A side has a bulge of 1/16 in its middle, or three points no farther from it than 1/128.
+    """
+    key = F.col("c_custkey")
+
+    def at(column: Column, row: Column) -> tuple[Column, Column]:
+        return F.lit(9.0) + column.cast("double") * 0.25, F.lit(54.0) + row.cast("double") * 0.25
+
+    def inner(i: Column, j: Column, across: bool) -> Column:
+        x, y = at(i, j)
+
+        def point(part: float, off: float) -> Column:
+            return F.array(x + part * 0.25, y + off) if across else F.array(x + off, y + part * 0.25)
+
+        bulge = (i * 7 + j * 3 + int(across)) % 5 == 0
+        return F.when(bulge, F.array(point(0.5, 1 / 16))).otherwise(F.array(point(0.25, 0.0), point(0.5, 1 / 128), point(0.75, -1 / 256)))
+
+    i, j = key % 30, F.expr("c_custkey div 30")
+    corner = lambda a, b: F.array(F.array(*at(a, b)))
+    ring = F.concat(
+        corner(i, j), inner(i, j, True), corner(i + 1, j), inner(i + 1, j, False), corner(i + 1, j + 1),
+        F.reverse(inner(i, j + 1, True)), corner(i, j + 1), F.reverse(inner(i, j, False)), corner(i, j),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array(F.array(ring)).alias("geometry"))
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One closed 48-gon with an uneven edge per customer."""
     key = F.col("c_custkey")
