@@ -154,7 +154,8 @@ def _pair(members: DataFrame, other: DataFrame, more=None) -> DataFrame:
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
     """Each bucket's members with one of them, another one in each turn."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    # originals tend to have smaller keys than their copies, and lie in the middle of them
+    order = F.col("first") if turn == 0 else F.xxhash64("first", F.lit(turn))
     first = F.struct(order.alias("order"), "node", "n", "label")
     one = members.groupBy("bucket").agg(F.min(first).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     return _pair(members, one.select("bucket", F.col("one.node").alias("other"), F.col("one.n").alias("other_n"), F.col("one.label").alias("other_label")))
@@ -198,9 +199,9 @@ def _classes(docs: DataFrame, key: str, text: str, join_keys: bool) -> tuple[Dat
     classes = named.groupBy("digest").agg(F.min("key").alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     facts = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * ROWS * 4 + 1, ROWS * 4)) for i in range(BANDS)])
-    banded = facts.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
+    banded = facts.select("node", "first", "n", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("bucket").alias("__bucket"))
-    members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("band", "bucket", "node", "n"))
+    members = stored(banded.join(shared, F.col("bucket").eqNullSafe(F.col("__bucket"))).select("band", "bucket", "node", "first", "n"))
     # the sets of those that share a bucket; of known size, so that Catalyst may broadcast the names
     wanted = stored(members.select("node").distinct().join(facts.select("node", "first", "digest"), "node"))
     texts = narrow.select("key", "text").join(wanted.select(F.col("first").alias("key")), "key", "left_semi")
