@@ -2,90 +2,86 @@
 
 A window over (group) ordered by (value) sorts each group in a single task, and fails once one group
 holds a large part of the data. All ranking functions only depend on how many rows, and how many
-distinct values, lie up to a value. So the rows are counted per (group, value), which combines on the
-map side; the counts are range-partitioned by (group, value), so that a big group is spread over many
-partitions; running counts are taken inside each partition's share of a group, and the totals of its
-earlier partitions are added. The result, one row per (group, value), is joined back to the rows.
-
-The range-partitioned counts are checkpointed with their partition number, so every later step,
-and every recomputation after a lost executor, sees the same partitions. This is the only job that
-runs while a plan is built.
+distinct values, lie up to a value. So the rows are counted per (groups, value), which combines on the
+map side; the counts are range-partitioned by (outermost group, value), so that a big group is spread over many
+partitions. Equal values of the outermost group share a partition, so the running counts of it and of all groups
+inside it are taken there side by side; the totals of each group's earlier partitions are added. The result, one row
+per (groups, value), is joined to the rows once, whatever the number of scopes.
+
+The rows are stored first and the range-partitioned counts with their partition number, so nothing is computed twice, and every
+later step, and every recomputation after a lost executor, sees the same partitions. These are the only jobs that
+run while a plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankmill.session import checkpoint
+from rankmill.session import stored
 
 Scopes = Sequence[tuple[Sequence[str], Mapping[str, str]]]
 
 
-def _group_key(scope: int, keys: Sequence[str], by: Sequence[str], types: Mapping[str, str]) -> Column:
-    """One struct that identifies a group in any scope; inside a struct NULLs equal each other."""
-    parts = [F.lit(scope).alias("scope")]
-    parts += [(F.col(k) if k in by else F.lit(None).cast(types[k])).alias(f"k{i}") for i, k in enumerate(keys)]
-    return F.struct(*parts)
+def _group(by: Sequence[str]) -> Column:
+    """One struct that identifies a group; inside a struct NULLs equal each other."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)]) if by else F.struct(F.lit(0).alias("k"))
 
 
-def _count_values(df: DataFrame, value: str, groups: Sequence[Column], partitions: int | None) -> DataFrame:
-    """Rows per (group, value) for all scopes at once, range-partitioned and checkpointed."""
-    counted = (
-        df.select(F.explode(F.array(*groups)).alias("_group") if len(groups) > 1 else groups[0].alias("_group"), value)
-        .groupBy("_group", value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    order = [F.col("_group"), F.col(value).asc_nulls_last()]
+def _count_values(rows: DataFrame, value: str, groups: Sequence[Column], outer: int, partitions: int | None) -> DataFrame:
+    """Rows per (_group0, _group1, ..., value), range-partitioned by the outermost group and the value, and stored."""
+    names = [f"_group{i}" for i in range(len(groups))]
+    counted = rows.groupBy(*[g.alias(n) for g, n in zip(groups, names, strict=True)], value).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col(names[outer]), F.col(value).asc_nulls_last()]
     ranged = counted.repartitionByRange(partitions, *order) if partitions else counted.repartitionByRange(*order)
-    return checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
-
+    return stored(ranged.withColumn("_part", F.spark_partition_id()))
 
-def _positions(counted: DataFrame, value: str) -> DataFrame:
-    """Place of each distinct value in its group, ascending with NULL last.
 
-    ``_upto`` and ``_place`` are the rows and the distinct values up to and with the value;
-    ``_rows``, ``_values`` (non-NULL, distinct) and ``_top`` (largest value) describe the group.
-    """
-    share = Window.partitionBy("_group", "_part").orderBy(F.col(value).asc_nulls_last())
-    running = share.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = counted.withColumns(
-        {"_upto": F.sum("_n").over(running), "_place": F.row_number().over(share).cast("bigint")}
-    )
-    totals = counted.groupBy("_group", "_part").agg(
+def _offsets(counted: DataFrame, value: str, group: str) -> DataFrame:
+    """Per group and partition: rows and distinct values in earlier partitions, and the group's rows, non-NULL values and largest value."""
+    values = counted.groupBy(group, "_part", value).agg(F.sum("_n").alias("_n"))
+    totals = values.groupBy(group, "_part").agg(
         F.sum("_n").alias("_part_rows"),
         F.count(F.lit(1)).alias("_part_places"),
         F.count(value).alias("_part_values"),
         F.max(value).alias("_part_top"),
     )
     # One row per group and partition, so a group has no more rows here than there are partitions.
-    group = Window.partitionBy("_group")
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("_group").alias("_g"),
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        F.col(group).alias("_g"),
         F.col("_part").alias("_p"),
         F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_part_places").over(earlier), F.lit(0)).alias("_places_before"),
-        F.sum("_part_rows").over(group).alias("_rows"),
-        F.sum("_part_values").over(group).alias("_values"),
-        F.max("_part_top").over(group).alias("_top"),
+        F.sum("_part_rows").over(whole).alias("_rows"),
+        F.sum("_part_values").over(whole).alias("_values"),
+        F.max("_part_top").over(whole).alias("_top"),
     )
-    return within.join(offsets, (F.col("_group") == F.col("_g")) & (F.col("_part") == F.col("_p"))).select(
-        "_group",
-        value,
-        "_n",
-        (F.col("_rows_before") + F.col("_upto")).alias("_upto"),
-        (F.col("_places_before") + F.col("_place")).alias("_place"),
-        "_rows",
-        "_values",
-        "_top",
+
+
+def _with_positions(counted: DataFrame, parts: DataFrame, value: str, group: str, wanted: Mapping[str, str]) -> DataFrame:
+    """``parts`` with the wanted ranks of each value in ``group``, ascending with NULL last."""
+    share = Window.partitionBy(group, "_part").orderBy(F.col(value).asc_nulls_last())
+    within = parts.withColumns(
+        {
+            "_upto": F.sum("_n").over(share.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_same": F.sum("_n").over(share.rangeBetween(Window.currentRow, Window.currentRow)),
+            "_place": F.dense_rank().over(share).cast("bigint"),
+        }
     )
+    offsets = _offsets(counted, value, group)
+    joined = within.join(offsets, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
+    joined = joined.withColumns({"_upto": F.col("_rows_before") + F.col("_upto"), "_place": F.col("_places_before") + F.col("_place")})
+    kinds = _rank_columns(value)
+    return joined.select(*parts.columns, *[kinds[kind].alias(name) for name, kind in wanted.items()])
 
 
 def _rank_columns(value: str) -> dict[str, Column]:
     rows, upto, place = F.col("_rows"), F.col("_upto"), F.col("_place")
-    below = upto - F.col("_n")
+    below = upto - F.col("_same")
     others = F.nullif(rows - 1, F.lit(0).cast("bigint"))
     return {
         "cume_dist": upto.cast("double") / rows,
@@ -107,22 +103,23 @@ def with_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | None
     ``percent_rank``, ``rank``, ``dense_rank``, ``dense_rank_desc``, ``count`` and ``max``. Values
     ascend, NULL comes last in both directions, NULL group columns form a group of their own.
 
-    The rows are read twice, for the counts and for the result: pass a table when they are costly to
-    make. ``partitions`` overrides the number of ranges.
+    The rows are stored before they are counted. Scopes whose groups lie inside those of the smallest one are
+    ranked together; others one after the other. ``partitions`` overrides the number of ranges.
     """
-    keys = list(dict.fromkeys(k for by, _ in scopes for k in by))
-    types = {k: df.schema[k].dataType.simpleString() for k in keys}
-    groups = [_group_key(i, keys, by, types) for i, (by, _) in enumerate(scopes)]
-    positions = _positions(_count_values(df, value, groups, partitions), value)
-    kinds = _rank_columns(value)
+    outer = min(range(len(scopes)), key=lambda i: len(scopes[i][0]))
+    if not all(set(scopes[outer][0]) <= set(by) for by, _ in scopes):
+        return reduce(lambda done, scope: with_ranks(done, value, [scope], partitions), scopes, df)
+    rows = stored(df)
+    groups = [_group(by) for by, _ in scopes]
+    counted = _count_values(rows, value, groups, outer, partitions)
+    ranks = counted.repartition("_part")  # both kinds of running counts are taken where a part of the counts lies
     for i, (_, wanted) in enumerate(scopes):
-        ranks = positions.filter(F.col("_group.scope") == i).select(
-            F.struct("_group", F.col(value).alias("v")).alias("_at"),
-            *[kinds[kind].alias(name) for name, kind in wanted.items()],
-        )
-        # A hot value sits on the side of the rows, which Spark may split over many tasks.
-        df = df.join(ranks, F.struct(groups[i], F.col(value).alias("v")) == F.col("_at")).drop("_at")
-    return df
+        ranks = _with_positions(counted, ranks, value, f"_group{i}", wanted)
+    at = F.struct(*[F.col(f"_group{i}") for i in range(len(scopes))], F.col(value).alias("v"))
+    ranks = ranks.select(at.alias("_at"), *[name for _, wanted in scopes for name in wanted])
+    # A hot value sits on the side of the rows, which Spark may split over many tasks.
+    own = F.struct(*[g.alias(f"_group{i}") for i, g in enumerate(groups)], F.col(value).alias("v"))
+    return rows.join(ranks, own == F.col("_at")).drop("_at")
 
 
 def percent_score(cume_dist: Column | str) -> Column:

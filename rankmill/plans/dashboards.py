@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rankmill.functions.text import school_year_start, strip, zero_fill
 from rankmill.operators.geo import in_box, join_values, simplify
 from rankmill.operators.groups import mean, recomputed_share
+from rankmill.operators.lattice import Lattice
 from rankmill.operators.reshape import melt, melt_years, pivot, pivoted_share, relabel, year_label_columns
 from rankmill.operators.select import (
     means_all,
@@ -19,7 +20,7 @@ from rankmill.operators.select import (
     top_and_bottom,
     year_filter,
 )
-from rankmill.operators.trend import at_latest, before_latest, last_change
+from rankmill.operators.trend import at_latest, last_change
 
 # ---- Fixed values: labels, the two providers, default number of rows ----
 
@@ -48,13 +49,27 @@ def trend_series(
     rows = optional_filters(
         trend, {"lan": lan, "kommun": kommun, "huvudman_typ": provider, "subject": subject}
     ).filter(F.col(metric).isNotNull() & F.col("year").isNotNull() & F.col(series).isNotNull())
-    return (
-        before_latest(rows, "year")
-        .groupBy("year", series)
-        .agg(mean(metric, digits).alias(metric))
-        .withColumnRenamed(series, "series")
-        .orderBy("year", "series")
-    )
+    return _without_latest_year(rows.groupBy("year", series).agg(mean(metric, digits).alias(metric)), series)
+
+
+def _without_latest_year(means: DataFrame, series: str) -> DataFrame:
+    """Ordered means per year and series; the window sees one row per year and series only, so the mart is read once."""
+    latest = F.max("year").over(Window.partitionBy())
+    rows = means.withColumn("_latest", latest).filter(F.col("year") < F.col("_latest")).drop("_latest")
+    return rows.withColumnRenamed(series, "series").orderBy("year", "series")
+
+
+def trend_series_from(
+    lattice: Lattice, lan: Any = None, kommun: Any = None, huvudman: Any = None, subject: Any = None, metric: str = "score", digits: int | None = 10
+) -> DataFrame:
+    """``trend_series`` answered from a lattice over year, lan, kommun, huvudman_typ and subject; the mart is not read."""
+    series = "subject" if means_all(subject) else "huvudman_typ"
+    chosen = {"lan": lan, "kommun": kommun, "huvudman_typ": huvudman if means_all(subject) else None, "subject": subject}
+    chosen = {c: v for c, v in chosen.items() if not means_all(v)}
+    rows = lattice.rows(["year", series, *chosen])
+    rows = optional_filters(rows, chosen).filter(F.col("year").isNotNull() & F.col(series).isNotNull())
+    means = lattice.means(rows, ["year", series], [metric], digits).filter(F.col(metric).isNotNull())
+    return _without_latest_year(means, series)
 
 
 def top_gaps(

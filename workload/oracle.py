@@ -426,6 +426,11 @@ union all select *, 'bottom' from (select * from latest order by n_students, kom
     "metric_by_year": (RANKED, "select kommun_kod, kommun, avg_total from ranked where lasar_start = 1998"),
     "point_lookup": (RESULTS, "select kommun_kod, kommun, year, huvudman_typ, subject, n from results where kommun_kod = '000007'"),
     "trend_series": (SERIES, "select * from series"),
+    "trend_series_lattice": (
+        TREND + ",\nchosen as (select * from trend where subject = 'S2')",
+        "select year, huvudman_typ as series, round(avg(score), 4) as score from chosen "
+        "where year < (select max(year) from chosen) group by 1, 2",
+    ),
     "trend_series_by_provider": (
         TREND + ",\nchosen as (select * from trend where subject = 'S2')",
         "select year, huvudman_typ as series, round(avg(score), 4) as score from chosen "

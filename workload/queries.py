@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankmill.functions import numbers, text
-from rankmill.operators import geo, groups, lines as line_ops, quality, rank, reshape, select, trend as trend_ops
+from rankmill.operators import geo, groups, lattice, lines as line_ops, quality, rank, reshape, select, trend as trend_ops
 from rankmill.operators.lines import LineFamily
 from rankmill.plans import dashboards, marts
 from rankmill.session import stored
@@ -264,7 +264,7 @@ def rollup_all(spark, sf_dir):
 @register
 def fairness(spark, sf_dir):
     # the ranks read their input twice, and the scores were ranked themselves
-    return marts.fairness(stored(_choice(spark, sf_dir)))
+    return marts.fairness(_choice(spark, sf_dir))
 
 
 @register
@@ -410,17 +410,25 @@ def point_lookup(spark, sf_dir):
 @register
 def trend_series(spark, sf_dir):
     # here and below: the series are read twice, for their latest year and for the rest
-    return dashboards.trend_series(stored(_trend(spark, sf_dir)), lan="All", digits=DIGITS)
+    return dashboards.trend_series(_trend(spark, sf_dir), lan="All", digits=DIGITS)
 
 
 @register
 def trend_series_by_provider(spark, sf_dir):
-    return dashboards.trend_series(stored(_trend(spark, sf_dir)), subject="S2", huvudman="N", digits=DIGITS)
+    return dashboards.trend_series(_trend(spark, sf_dir), subject="S2", huvudman="N", digits=DIGITS)
+
+
+@register
+def trend_series_lattice(spark, sf_dir):
+    """The same answer from sums and counts by sets of dimensions."""
+    levels = [["year", "lan", "kommun", "huvudman_typ", "subject"], ["year", "lan", "huvudman_typ", "subject"], ["year", "huvudman_typ", "subject"], ["year", "subject"]]
+    sums = lattice.build(_choice(spark, sf_dir), levels, ["score"])
+    return dashboards.trend_series_from(sums, subject="S2", huvudman="N", digits=DIGITS)
 
 
 @register
 def series_last_point(spark, sf_dir):
-    return trend_ops.at_latest(dashboards.trend_series(stored(_trend(spark, sf_dir)), digits=DIGITS), "year")
+    return trend_ops.at_latest(stored(dashboards.trend_series(_trend(spark, sf_dir), digits=DIGITS)), "year")
 
 
 @register
@@ -492,7 +500,7 @@ def school_choice(spark, sf_dir):
 
 @register
 def gap_topn_fairness(spark, sf_dir):
-    mart = marts.fairness(stored(_choice(spark, sf_dir)))
+    mart = marts.fairness(_choice(spark, sf_dir))
     return dashboards.top_gaps(mart, year=1997, digits=DIGITS)
 
 
