@@ -50,6 +50,26 @@ def test_loads(spark, folder, tmp_path):
     assert all("load_id=1700000000.2" in f for f in eager.inputFiles()) and eager.inputFiles()
 
 
+def test_a_load_is_seen_whole_or_not_at_all(spark, folder, tmp_path):
+    store = str(tmp_path / "store")
+    lines = source.read_raw_lines(spark, folder)
+    assert source.append_load(lines, store, "1")
+    wrong = F.when(F.col("raw_line").startswith("Ale"), F.raise_error("lost").cast("string")).otherwise(F.col("raw_line"))
+    with pytest.raises(Exception, match="lost"):  # some tasks of the write fail
+        source.append_load(lines.withColumn("raw_line", wrong).repartition(5), store, "2")
+    # a driver lost between write and commit leaves whole files behind
+    lines.withColumns({"load_id": F.lit("2"), "attempt": F.lit("lost")}).write.mode("append").partitionBy("load_id", "attempt").parquet(store)
+    assert {r.load_id for r in source.read_latest_load(spark, store).collect()} == {"1"}
+    assert source.read_loads(spark, store).count() == 5
+    assert source.append_load(lines, store, "2")
+    assert not source.append_load(lines, store, "2")  # again: nothing happens
+    assert not source.append_load(lines, store, "1")
+    assert source.read_latest_load(spark, store).count() == 5 and source.read_loads(spark, store).count() == 10
+    assert list(source.committed_loads(spark, store)) == ["1", "2"]
+    assert source.append_load(lines.filter("false"), store, "3")
+    assert source.read_latest_load(spark, store).count() == 0
+
+
 def test_load_ids_with_signs(spark, folder, tmp_path):
     store, ids = str(tmp_path / "store"), ["2024-01-01 09:30", "2024-01-01 10:00", "2024-01-01 10:00 'b'"]
     lines = source.read_raw_lines(spark, folder)
