@@ -37,6 +37,7 @@ from rankmill.operators.joins import join_per_key
 
 BLOCK_BYTES = 4_000_000  # text of the documents that share a block; one longer text is a block of its own
 BATCH_ROWS, BATCH_CHARS = 256, 1_000_000  # texts aligned together; one longer text is by itself
+JOINED = 64  # segments encoded as one text
 KNOWN, KNOWN_CHARS = 300_000, 40  # segments a task remembers, and how long they may be
 MARK = "▁"  # a space in a piece of B
 SPACE_AFTER_WORD = re.compile(r"(?<=\S)(?= )")
@@ -87,15 +88,41 @@ class Aligner:
         if len(self.known) > KNOWN:
             self.known.clear()
         new = list(set(chain.from_iterable(segments)).difference(self.known))
-        ids = self.a.encode_batch_fast(new, add_special_tokens=False)
-        pieces = self.b.encode([s[1:] for s in new], num_threads=1)  # it adds the space itself, but to an empty text
-        in_a, in_b, known = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.known
-        for s, a, b in zip(new, ids, pieces, strict=True):
-            a, b, raw = a.ids, b if len(s) > 1 else [self.lone_space], s.encode()
-            same = b"".join(map(in_a, a)) == raw == b"".join(map(in_b, b))
-            known[s] = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+        new.sort(key=lambda s: s[-1].isspace())  # those end a text; white space behind them could run into them
+        words = sum(not s[-1].isspace() for s in new)
+        joined = ["".join(new[i : min(i + JOINED, words)]) for i in range(0, words, JOINED)] + new[words:]
+        a = np.array(list(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(joined, add_special_tokens=False))), np.int32)
+        b = np.array(list(chain.from_iterable(self._pieces(new))), np.int32)
+        raw, ends = "".join(new).encode(), np.cumsum([len(s.encode()) for s in new])
+        cut_a, cut_b = self._cut(a, self.a_bytes, self.a_sizes, raw, ends), self._cut(b, self.b_bytes, self.b_sizes, raw, ends)
+        if cut_a is None or cut_b is None:  # some text is not given back: each segment is looked at by itself
+            self.known |= {s: self._alone(s) for s in new}
+        else:
+            self.known |= {s: own for s, own in zip(new, zip(cut_a, cut_b), strict=True)}
         return new
 
+    def _pieces(self, segments: list[str]) -> list[list[int]]:
+        """B adds the space before a segment itself, but to an empty text."""
+        return [p or [self.lone_space] for p in self.b.encode([s[1:] for s in segments], num_threads=1)]
+
+    @staticmethod
+    def _cut(ids: np.ndarray, own: list[bytes], sizes: np.ndarray, raw: bytes, ends: np.ndarray) -> list[bytes] | None:
+        """Packed ids of each segment, if the tokens make up the bytes and one ends with each segment."""
+        if b"".join(map(own.__getitem__, ids.tolist())) != raw:
+            return None
+        token_ends = np.cumsum(sizes[ids])
+        upto = np.searchsorted(token_ends, ends)
+        if (token_ends[upto] != ends).any():
+            return None
+        packed, at = ids.tobytes(), [0, *(4 * (upto + 1)).tolist()]
+        return [packed[i:j] for i, j in zip(at, at[1:])]
+
+    def _alone(self, segment: str) -> tuple[bytes, bytes] | None:
+        a, (b,), raw = self.a.encode(segment, add_special_tokens=False).ids, self._pieces([segment]), segment.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return array("i", a).tobytes(), array("i", b).tobytes()
+
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """n_a, n_b, n_groups, n_links, groups, and distinct pairs with how often each is linked."""
         none = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)

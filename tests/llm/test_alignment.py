@@ -64,6 +64,7 @@ def awkward():
     draw = random.Random(9)
     bits = [" ", "  ", "\n", "\r\n", "\t", "\xa0", "　", "\x1c", "\x85", "a", "word", "The", "ing", "don't", "1234", "é", "ß", "日本語", "😀", "é", "<s>", "</s>", "<0x41>", "<|endoftext|>", "▁", "\x00", "ﬁ", "—", "...", "_", "AKIA", "​"]
     rows = [(1000 + i, "".join(draw.choice(bits) for _ in range(draw.randint(1, 25)))) for i in range(250)]
+    rows += [(3000 + i, draw.choice(["word", "x"]) + end) for i, end in enumerate(["\n\n", "  ", " \n ", "\t", "\n  b", "  \n   c"] * 2)]
     return [(i, t) for i, t in rows if draw.random() < 0.7 or "▁" not in t]
 
 
