@@ -80,24 +80,31 @@ SPARSE = 0.002  # with more different symbols to a symbol than this, buckets are
 
 def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The same symbol by symbol; what is written ahead of the place read is read in its turn."""
-    out, symbols, large = [-1] * len(text), text.tolist(), (~small).tolist()
-    tail = bounds[1:].tolist()
-    for i in lms[::-1].tolist():
-        c = symbols[i]
-        tail[c] -= 1
-        out[tail[c]] = i
+    n = len(text)
+    # the symbol before each suffix if the suffix there is to be induced, else -1; the last entry is that of no suffix
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = text[:-1]
+    larger, smaller = (np.where(np.concatenate([[False], mask[:-1], [False]]), before, -1).tolist() for mask in (~small, small))
+    order = np.argsort(text[lms], kind="stable")
+    heads = text[lms][order]
+    counts = np.bincount(heads, minlength=len(bounds) - 1)
+    first = np.cumsum(counts) - counts
+    placed = np.full(n, -1, np.int64)
+    placed[bounds[1:][heads] - counts[heads] + np.arange(len(lms)) - first[heads]] = lms[order]  # at the ends of their buckets
+    out = placed.tolist()
     head = bounds[:-1].tolist()
     for i in out:
-        if i > 0 and large[i - 1]:
-            c = symbols[i - 1]
-            out[head[c]] = i - 1
-            head[c] += 1
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            out[at] = i - 1
+            head[c] = at + 1
     tail = bounds[1:].tolist()
     for i in reversed(out):
-        if i > 0 and not large[i - 1]:
-            c = symbols[i - 1]
-            tail[c] -= 1
-            out[tail[c]] = i - 1
+        c = smaller[i]
+        if c >= 0:
+            at = tail[c] = tail[c] - 1
+            out[at] = i - 1
     return np.array(out, np.int64)
 
 
