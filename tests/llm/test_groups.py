@@ -180,3 +180,24 @@ def test_shards_are_even_with_a_hot_text(spark):
     sizes = shards.histogram_shards(documents(spark, rows)).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     mean = sum(r.n for r in sizes) / 16
     assert len(sizes) == 16 and all(abs(r.n - mean) < 0.02 * mean for r in sizes)
+
+
+@pytest.mark.parametrize("copies", [0, 400])
+def test_splitters_against_all_rows_in_order(spark, copies):
+    """Sorted by (hash of text, hash of key) as unsigned, shards follow one another, and each border lies where its share of bytes is full."""
+    rows = [(i, words(i, 1 + i % 60)) for i in range(900)] + [(2000 + i, words(77, 30)) for i in range(copies)] + [(3000 + i, None) for i in range(5)]
+    got = shards.histogram_shards(documents(spark, rows), tolerance=0.01)
+    order = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("high"), F.xxhash64("doc_id").alias("low")]
+    found = sorted((r.high % 2**64, r.low % 2**64, r.shard, r.size, r.text or "") for r in got.select("shard", "size", "text", *order).collect())
+    assert [r[2] for r in found] == sorted(r[2] for r in found)
+    ends = np.cumsum([r[3] for r in found])
+    total, largest = ends[-1], max(r[3] for r in found)
+    for k in range(1, 16):
+        below = sum(r[3] for r in found if r[2] < k)
+        assert abs(below - total * k / 16) <= max(0.01 * total / 16, largest)
+    placed = {}
+    for *_, shard, _, text in found:
+        placed.setdefault(text, set()).add(shard)
+    split = [t for t, own in placed.items() if len(own) > 1]
+    assert set(split) <= {words(77, 30)} and (copies > 0) == bool(split)  # only copies that fill more than a shard are divided
+    assert all(own == set(range(min(own), max(own) + 1)) for own in placed.values())

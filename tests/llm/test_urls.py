@@ -1,5 +1,10 @@
 """URL rules, curated and mined."""
 
+import itertools
+import random
+
+import pytest
+
 from rankmill.llm import url_rules
 
 
@@ -54,3 +59,32 @@ def test_rules_have_no_better_part(spark):
     rows = [(["a", "b"], "block")] * 50 + [(["a", "c"], "block")] * 50 + [(["c", "d"], "allow")] * 50
     mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string")).collect()
     assert {(tuple(r.antecedent), r.label) for r in mined} == {(("a",), "block"), (("b",), "block"), (("d",), "allow")}
+
+
+def enumerated(rows, support, confidence):
+    """All combinations of tokens with their label counts, less those that have a part as good."""
+    least = max(support, url_rules.LEAST_URLS / len(rows)) * len(rows)
+    tokens = sorted({t for own, _ in rows for t in own})
+    found = {}
+    for n in range(1, len(tokens) + 1):
+        for combination in itertools.combinations(tokens, n):
+            labels = [label for own, label in rows if set(combination) <= set(own)]
+            for label in set(labels):
+                both = labels.count(label)
+                if both >= least and both / len(labels) >= confidence:
+                    found[combination, label] = both / len(labels)
+    parts = lambda c: (p for n in range(1, len(c)) for p in itertools.combinations(c, n))
+    return {(c, label): round(v, 9) for (c, label), v in found.items() if not any(found.get((p, label), -1) >= v for p in parts(c))}
+
+
+@pytest.mark.parametrize("seed, confidence", [(1, 0.6), (2, 0.8)])
+def test_mined_rules_equal_all_combinations_tried(spark, seed, confidence):
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(160):
+        own = [t for t in "abcdef" if draw.random() < 0.45]
+        block = ("a" in own and "b" in own) or ("c" in own and "e" not in own)
+        rows.append((own, "block" if block != (draw.random() < 0.1) else "allow"))
+    rows = [(own, label) for own, label in rows if own]
+    mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.03, confidence).collect()
+    assert {(tuple(r.antecedent), r.label): round(r.confidence, 9) for r in mined} == enumerated(rows, 0.03, confidence)
