@@ -22,6 +22,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_half(c: Column | str, digits: int) -> Column:
+    """A double rounded half away from zero, as SQL engines that work on binary numbers do.
+
+    Multiplied first: a value like 0.44999999999999996, all that binary numbers have of 0.45, is a half after that.
+    Spark's own rounding takes the shortest decimal notation and rounds it down.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(_col(c) * scale, 0) / scale
+
+
 def lenient_double(c: Column | str) -> Column:
     text = F.btrim(_col(c), F.lit(BLANKS))
     return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))

@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankmill.functions.numbers import round_half
 from rankmill.session import stored
 
 Scopes = Sequence[tuple[Sequence[str], Mapping[str, str]]]
@@ -125,7 +126,7 @@ def with_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | None
 def percent_score(cume_dist: Column | str) -> Column:
     """Percentile score 0 to 100 with one decimal."""
     c = F.col(cume_dist) if isinstance(cume_dist, str) else cume_dist
-    return F.round(F.lit(100.0) * c, 1)
+    return round_half(F.lit(100.0) * c, 1)
 
 
 def performance_bucket(score: Column | str) -> Column:

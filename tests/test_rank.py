@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -66,6 +67,14 @@ def test_bucket_uses_rounded_score(spark):
     assert [r.b for r in got.collect()] == ["Top 10%", "Middle", "Middle", "Bottom 50%"]
 
 
+def test_scores_round_as_sql(spark):
+    """Places in groups of up to 6,000 rows, halves of a tenth of a per cent among them."""
+    for n in (16, 1000, 2000, 5973, 6000):
+        got = spark.range(1, n + 1).select("id", percent_score(F.col("id").cast("double") / n).alias("s")).orderBy("id").collect()
+        want = duckdb.sql(f"select round(100.0 * (cast(i as double) / {n}), 1) from range(1, {n + 1}) t(i) order by i").fetchall()
+        assert [r.s for r in got] == [w for (w,) in want]
+
+
 def test_latest_per_key(spark, rows):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), ("b", 5, "w"), ("a", 2, "c")], "k string, y int, s string")
     assert rows(latest_per_key(df, ["k"], ["y"], ["s"])) == [("a", "c", 2), ("b", "w", 5)]
