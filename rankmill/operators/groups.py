@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankmill.functions.numbers import round_half
 from rankmill.operators.joins import join_per_key
 
 
@@ -87,7 +88,7 @@ def with_rollup_rows(
 def gap_fairness(gap_abs: Column | str, group_max: Column | str) -> Column:
     """100 for no gap down to 0 for the group's largest gap, one decimal."""
     relative = _col(gap_abs) / F.nullif(_col(group_max), F.lit(0.0))
-    return F.round(F.lit(100.0) * (F.lit(1.0) - relative), 1)
+    return round_half(F.lit(100.0) * (F.lit(1.0) - relative), 1)
 
 
 def fairness_label(gap_abs: Column | str, balanced: float = 1, moderate: float = 3) -> Column:

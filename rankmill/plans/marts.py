@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from rankmill.functions.numbers import count_value
+from rankmill.functions.numbers import count_value, round_half
 from rankmill.functions.text import normal_category, normal_year, pad_code
 from rankmill.operators.groups import (
     fairness_label,
@@ -145,7 +145,7 @@ def placed(means: DataFrame, by: Sequence[str], region: str = "lan_kod", value:
             ([*by, region], {"rank_in_lan": "dense_rank_desc", "n_kommun_in_lan": "count", "pct_in_lan": "percent_rank"}),
         ],
     )
-    return ranked.withColumn("score_0_100", F.round(F.col("pct_in_sweden") * 100, 1))
+    return ranked.withColumn("score_0_100", round_half(F.col("pct_in_sweden") * 100, 1))
 
 
 def school_choice(pupils: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,10 @@ def test_hot_keys_are_split(spark, operator):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_fairness_rounds_as_sql(spark):
+    """Gaps of whole units against a widest one of 6,000: halves of a tenth of a point among the scores."""
+    df = spark.range(6001).select("id", groups.gap_fairness(F.col("id").cast("double"), F.lit(6000.0)).alias("s"))
+    want = duckdb.sql("select round(100.0 * (1.0e0 - cast(i as double) / 6000.0e0), 1) from range(6001) t(i) order by i").fetchall()
+    assert [r.s for r in df.orderBy("id").collect()] == [w for (w,) in want]
