@@ -9,8 +9,8 @@ inside it are taken there side by side; the totals of each group's earlier parti
 per (groups, value), is joined to the rows once, whatever the number of scopes.
 
 The rows are stored first and the range-partitioned counts with their partition number, so nothing is computed twice, and every
-later step, and every recomputation after a lost executor, sees the same partitions. These are the only jobs that
-run while a plan is built.
+later step, and every recomputation after a lost executor, sees the same partitions. They and the totals of the partitions, stored too,
+are the only jobs that run while a plan is built.
 """
 
 from __future__ import annotations
@@ -21,51 +21,52 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankmill.functions.numbers import round_half
+from rankmill.operators.joins import join_per_key
 from rankmill.session import stored
 
 Scopes = Sequence[tuple[Sequence[str], Mapping[str, str]]]
 
 
-def _group(by: Sequence[str]) -> Column:
-    """One struct that identifies a group; inside a struct NULLs equal each other."""
-    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)]) if by else F.struct(F.lit(0).alias("k"))
-
-
-def _count_values(rows: DataFrame, value: str, groups: Sequence[Column], outer: int, partitions: int | None) -> DataFrame:
-    """Rows per (_group0, _group1, ..., value), range-partitioned by the outermost group and the value, and stored."""
-    names = [f"_group{i}" for i in range(len(groups))]
-    counted = rows.groupBy(*[g.alias(n) for g, n in zip(groups, names, strict=True)], value).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col(names[outer]), F.col(value).asc_nulls_last()]
+def _count_values(rows: DataFrame, value: str, keys: Mapping[str, str], outer: Sequence[str], partitions: int | None) -> DataFrame:
+    """Rows per group of the innermost columns and value, range-partitioned by the outermost group and the value, and stored."""
+    counted = rows.groupBy(*[F.col(k).alias(name) for k, name in keys.items()], value).agg(F.count(F.lit(1)).alias("_n"))
+    order = [*map(F.col, outer), F.col(value).asc_nulls_last()]
     ranged = counted.repartitionByRange(partitions, *order) if partitions else counted.repartitionByRange(*order)
     return stored(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def _offsets(counted: DataFrame, value: str, group: str) -> DataFrame:
-    """Per group and partition: rows and distinct values in earlier partitions, and the group's rows, non-NULL values and largest value."""
-    values = counted.groupBy(group, "_part", value).agg(F.sum("_n").alias("_n"))
-    totals = values.groupBy(group, "_part").agg(
+def _offsets(counted: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Per group and partition: rows and distinct values in earlier partitions, and the group's rows, non-NULL values and largest value.
+
+    Stored, so of known size: where it is small, the counts need not be shuffled to meet it.
+    """
+    # all counts of a partition lie in one task from here on, which serves both groupings
+    values = counted.repartition("_part").groupBy(*group, "_part", value).agg(F.sum("_n").alias("_n"))
+    totals = values.groupBy(*group, "_part").agg(
         F.sum("_n").alias("_part_rows"),
         F.count(F.lit(1)).alias("_part_places"),
         F.count(value).alias("_part_values"),
         F.max(value).alias("_part_top"),
     )
     # One row per group and partition, so a group has no more rows here than there are partitions.
-    whole = Window.partitionBy(group)
+    whole = Window.partitionBy(*group)
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        F.col(group).alias("_g"),
-        F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        F.coalesce(F.sum("_part_places").over(earlier), F.lit(0)).alias("_places_before"),
-        F.sum("_part_rows").over(whole).alias("_rows"),
-        F.sum("_part_values").over(whole).alias("_values"),
-        F.max("_part_top").over(whole).alias("_top"),
+    return stored(
+        totals.select(
+            *group,
+            "_part",
+            F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+            F.coalesce(F.sum("_part_places").over(earlier), F.lit(0)).alias("_places_before"),
+            F.sum("_part_rows").over(whole).alias("_rows"),
+            F.sum("_part_values").over(whole).alias("_values"),
+            F.max("_part_top").over(whole).alias("_top"),
+        )
     )
 
 
-def _with_positions(counted: DataFrame, parts: DataFrame, value: str, group: str, wanted: Mapping[str, str]) -> DataFrame:
+def _with_positions(counted: DataFrame, parts: DataFrame, value: str, group: Sequence[str], wanted: Mapping[str, str]) -> DataFrame:
     """``parts`` with the wanted ranks of each value in ``group``, ascending with NULL last."""
-    share = Window.partitionBy(group, "_part").orderBy(F.col(value).asc_nulls_last())
+    share = Window.partitionBy(*group, "_part").orderBy(F.col(value).asc_nulls_last())
     within = parts.withColumns(
         {
             "_upto": F.sum("_n").over(share.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -73,8 +74,7 @@ def _with_positions(counted: DataFrame, parts: DataFrame, value: str, group: str
             "_place": F.dense_rank().over(share).cast("bigint"),
         }
     )
-    offsets = _offsets(counted, value, group)
-    joined = within.join(offsets, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
+    joined = join_per_key(within, _offsets(counted, value, group), [*group, "_part"], null_matches=True)
     joined = joined.withColumns({"_upto": F.col("_rows_before") + F.col("_upto"), "_place": F.col("_places_before") + F.col("_place")})
     kinds = _rank_columns(value)
     return joined.select(*parts.columns, *[kinds[kind].alias(name) for name, kind in wanted.items()])
@@ -111,16 +111,17 @@ def with_ranks(df: DataFrame, value: str, scopes: Scopes, partitions: int | None
     if not all(set(scopes[outer][0]) <= set(by) for by, _ in scopes):
         return reduce(lambda done, scope: with_ranks(done, value, [scope], partitions), scopes, df)
     rows = stored(df)
-    groups = [_group(by) for by, _ in scopes]
-    counted = _count_values(rows, value, groups, outer, partitions)
+    keys = {k: f"_group{i}" for i, k in enumerate(dict.fromkeys(k for by, _ in scopes for k in by))}
+    named = [[keys[k] for k in by] for by, _ in scopes]
+    counted = _count_values(rows, value, keys, named[outer], partitions)
     ranks = counted.repartition("_part")  # both kinds of running counts are taken where a part of the counts lies
-    for i, (_, wanted) in enumerate(scopes):
-        ranks = _with_positions(counted, ranks, value, f"_group{i}", wanted)
-    at = F.struct(*[F.col(f"_group{i}") for i in range(len(scopes))], F.col(value).alias("v"))
-    ranks = ranks.select(at.alias("_at"), *[name for _, wanted in scopes for name in wanted])
+    for group, (_, wanted) in zip(named, scopes, strict=True):
+        ranks = _with_positions(counted, ranks, value, group, wanted)
+    # Plain columns, the value first: its many values settle nearly every comparison of the sort, where nested groups did not.
+    ranks = ranks.select(F.col(value).alias("_v"), *keys.values(), *[name for _, wanted in scopes for name in wanted])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(at)) for k, at in {value: "_v", **keys}.items()])
     # A hot value sits on the side of the rows, which Spark may split over many tasks.
-    own = F.struct(*[g.alias(f"_group{i}") for i, g in enumerate(groups)], F.col(value).alias("v"))
-    return rows.join(ranks, own == F.col("_at")).drop("_at")
+    return rows.join(ranks, same).drop("_v", *keys.values())
 
 
 def percent_score(cume_dist: Column | str) -> Column:
