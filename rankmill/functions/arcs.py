@@ -32,6 +32,8 @@ def arc_id(arc: np.ndarray) -> bytes:
 
 def thin_arc(arc: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker between the ends of an arc; a closed one is first split at the point farthest from its start."""
+    if len(arc) < 3:
+        return arc
     own, turned = canonical(arc)
     keep = np.zeros(len(own), bool)
     keep[0] = keep[-1] = True
@@ -47,7 +49,7 @@ def thin_arc(arc: np.ndarray, tolerance: float) -> np.ndarray:
             continue
         base, offset = own[b] - own[a], own[a + 1 : b] - own[a]
         length = base @ base
-        along = np.clip(offset @ base / length, 0, 1) if length else np.zeros(len(offset))
+        along = np.minimum(np.maximum(offset @ base / length, 0), 1) if length else np.zeros(len(offset))
         away = np.hypot(*(offset - along[:, None] * base).T)
         far = int(away.argmax())
         if away[far] > tolerance:
@@ -57,12 +59,16 @@ def thin_arc(arc: np.ndarray, tolerance: float) -> np.ndarray:
     return out[::-1] if turned else out
 
 
-def crossing(points: np.ndarray, ring_of: np.ndarray, next_of: np.ndarray) -> np.ndarray:
-    """Numbers of segments (points[i], points[next_of[i]]) that meet another one, but for neighbours at their common point."""
+def crossing(points: np.ndarray, ring_of: np.ndarray, next_of: np.ndarray, polygon_of: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of segments (points[i], points[next_of[i]]) that meet another one of their polygon, but for neighbours at their common point."""
     a, b = points, points[next_of]
     low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.argsort(low[:, 0], kind="stable")
-    upto = np.searchsorted(low[order, 0], high[order, 0], "right")
+    # places of all x in order instead of x itself, so that a polygon's segments lie apart from all others'
+    places = np.unique(np.concatenate([low[:, 0], high[:, 0]]), return_inverse=True)[1]
+    apart = 0 if polygon_of is None else polygon_of * len(places)
+    start, end = places[: len(low)] + apart, places[len(low) :] + apart
+    order = np.argsort(start, kind="stable")
+    upto = np.searchsorted(start[order], end[order], "right")
     counts = np.maximum(upto - np.arange(len(order)) - 1, 0)
     found = np.zeros(len(points), bool)
     step = max(1, 2_000_000 // max(1, int(counts.max(initial=1))))
@@ -88,32 +94,50 @@ def crossing(points: np.ndarray, ring_of: np.ndarray, next_of: np.ndarray) -> np
     return np.flatnonzero(found)
 
 
-def thin_geometry(geometry: list, cuts: dict[tuple[int, int, int], bool], levels: dict[bytes, int], tolerance: float) -> tuple[list, list[bytes], list[bytes]]:
-    """The geometry with its arcs thinned, its arcs, and those that have to keep more points: of small or crossing rings."""
-    out, all_ids, refine = [], set(), set()
-    for p, polygon in enumerate(geometry):
-        rings, arcs_of = [], []
-        for r, ring in enumerate(polygon):
-            points = np.array([q[:2] for q in ring], float)
-            if len(points) < 4:  # no ring; left as it is
-                rings.append(points)
-                arcs_of.append([b""] * max(len(points) - 1, 0))
-                continue
-            own = {i: hard for (x, y, i), hard in cuts.items() if (x, y) == (p, r)}
-            arcs = ring_arcs(points, sorted(i for i, hard in own.items() if hard or not any(own.values())))
-            ids = [arc_id(a) for a in arcs]
-            all_ids.update(ids)
-            thinned = [a if levels.get(i, 0) >= MOST_LEVELS else thin_arc(a, tolerance / 4 ** levels.get(i, 0)) for a, i in zip(arcs, ids)]
-            whole = np.concatenate([*[t[:-1] for t in thinned], thinned[0][:1]])
-            if len(whole) < 4:
-                refine.update(ids)
-            rings.append(whole)
-            arcs_of.append([i for i, t in zip(ids, thinned) for _ in t[:-1]])
-        sizes = [max(len(r) - 1, 0) for r in rings]
-        if sum(sizes):
-            starts = np.cumsum([0, *sizes[:-1]])
-            following = np.concatenate([s + (np.arange(n) + 1) % n for s, n in zip(starts, sizes)]).astype(int)
-            ids = [i for own in arcs_of for i in own]
-            refine.update(ids[k] for k in crossing(np.concatenate([r[:-1] for r in rings]), np.repeat(np.arange(len(rings)), sizes), following))
-        out.append([r.tolist() for r in rings])
-    return out, sorted(all_ids), sorted(i for i in refine if i and levels.get(i, 0) < MOST_LEVELS)
+def thin_geometries(rows: list[tuple[list, dict[tuple[int, int, int], bool], dict[bytes, int]]], tolerance: float) -> list[tuple[list, list[bytes], list[bytes]]]:
+    """For each (geometry, cuts, levels): the geometry with its arcs thinned, its arcs, and those that have to keep more points.
+
+    These are the arcs of small or crossing rings; crossings are looked for in all geometries at once.
+    """
+    made, rings, owners, polygon_of = [], [], [], []  # rings: of all polygons; owners: per segment its row and arc
+    for row, (geometry, cuts, levels) in enumerate(rows):
+        out, all_ids, refine = [], set(), set()
+        cuts_of = {}
+        for (p, r, i), hard in cuts.items():
+            cuts_of.setdefault((p, r), {})[i] = hard
+        for p, polygon in enumerate(geometry):
+            thin = []
+            for r, ring in enumerate(polygon):
+                points = np.array([q[:2] for q in ring], float)
+                if len(points) < 4:  # no ring; left as it is
+                    thin.append(points)
+                    owners += [(row, b"")] * max(len(points) - 1, 0)
+                    continue
+                own = cuts_of.get((p, r), {})
+                some = any(own.values())
+                arcs = ring_arcs(points, sorted(i for i, hard in own.items() if hard or not some))
+                ids = [arc_id(a) for a in arcs]
+                all_ids.update(ids)
+                thinned = [a if levels.get(i, 0) >= MOST_LEVELS else thin_arc(a, tolerance / 4 ** levels.get(i, 0)) for a, i in zip(arcs, ids)]
+                whole = np.concatenate([*[t[:-1] for t in thinned], thinned[0][:1]])
+                if len(whole) < 4:
+                    refine.update(ids)
+                thin.append(whole)
+                owners += [(row, i) for i, t in zip(ids, thinned) for _ in t[:-1]]
+            number = polygon_of[-1] + 1 if polygon_of else 0
+            polygon_of += [number] * len(thin)
+            rings += thin
+            out.append([r.tolist() for r in thin])
+        made.append((out, all_ids, refine))
+    sizes = np.array([max(len(r) - 1, 0) for r in rings], int)
+    if sizes.sum():
+        starts, ring_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rings)), sizes)
+        at = np.arange(len(ring_of)) - starts[ring_of]
+        following = starts[ring_of] + (at + 1) % sizes[ring_of]
+        for k in crossing(np.concatenate([r[:-1] for r in rings if len(r) > 1]), ring_of, following, np.array(polygon_of)[ring_of]):
+            row, arc = owners[k]
+            made[row][2].add(arc)
+    return [
+        (out, sorted(ids), sorted(i for i in refine if i and levels.get(i, 0) < MOST_LEVELS))
+        for (out, ids, refine), (_, _, levels) in zip(made, rows, strict=True)
+    ]

@@ -82,6 +82,12 @@ def _offsets(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def points_before(geometries: pa.Array) -> np.ndarray:
+    """Number of points before each geometry, and of all."""
+    polygons = _flat(geometries)
+    return _offsets(_flat(polygons))[_offsets(polygons)][_offsets(geometries)]
+
+
 def thin_batch(geometries: pa.Array, tolerance: float) -> pa.Array:
     """Polygons of rings of [x, y] points, with the points that Douglas-Peucker drops left out."""
     polygons = _flat(geometries)

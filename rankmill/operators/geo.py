@@ -219,9 +219,12 @@ def simplify_borders(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry:
     """
     if not tolerance or float(tolerance) <= 0:
         return df
-    cloudpickle.register_pickle_by_value(arcs)
+    for helper in (arcs, rings):
+        cloudpickle.register_pickle_by_value(helper)
     text = F.to_json(F.struct(F.col(geometry).alias("g")))
-    named = df.withColumn("_id", F.array(F.xxhash64(F.lit(0), text), F.xxhash64(F.lit(1), text)))
+    # A small file of many features is read by one task; what follows costs far more than dealing its rows out.
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = stored(dealt.withColumn("_id", F.array(F.xxhash64(F.lit(0), text), F.xxhash64(F.lit(1), text))))
     distinct = named.filter(F.col(geometry).isNotNull()).select("_id", F.col(geometry).alias("_geometry")).dropDuplicates(["_id"])
     rows = stored(join_per_key(distinct, _junctions(distinct), ["_id"], "left"))
     done = stored(_thinned(rows.withColumn("_levels", F.lit(None).cast(_LEVELS)), float(tolerance)))
@@ -241,6 +244,7 @@ def simplify_borders(df: DataFrame, tolerance: float = MAP_TOLERANCE, geometry:
     return join_per_key(named, done.select("_id", "_thin"), ["_id"], "left").withColumn(geometry, F.col("_thin")).drop("_id", "_thin")
 
 
+_CHUNK_POINTS = 8192
 _LEVELS = "array<struct<arc: binary, level: int>>"
 
 
@@ -250,12 +254,18 @@ def _thinned(rows: DataFrame, tolerance: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                (row,) = batch.slice(i, 1).to_pylist()
-                cuts = {(c["p"], c["r"], c["i"]): c["hard"] for c in row["_cuts"] or ()}
-                levels = {bytes(x["arc"]): x["level"] for x in row["_levels"] or ()}
-                made = arcs.thin_geometry(row["_geometry"], cuts, levels, tolerance)
-                columns = [pa.array([m], t) for m, t in zip(made, (nested, pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, 1), *columns], ["_id", "_thin", "_arcs", "_refine"])
+            points = rings.points_before(batch.column("_geometry"))
+            at = 0
+            while at < len(batch):  # rows of some thousand points together, or one row of more
+                upto = max(at + 1, int(points.searchsorted(points[at] + _CHUNK_POINTS, "right")) - 1)
+                part = batch.slice(at, upto - at)
+                rows = []
+                for row in part.to_pylist():
+                    cuts = {(c["p"], c["r"], c["i"]): c["hard"] for c in row["_cuts"] or ()}
+                    rows.append((row["_geometry"], cuts, {bytes(x["arc"]): x["level"] for x in row["_levels"] or ()}))
+                made = zip(*arcs.thin_geometries(rows, tolerance), strict=True)
+                columns = [pa.array(m, t) for m, t in zip(made, (nested, pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], ["_id", "_thin", "_arcs", "_refine"])
+                at = upto
 
     return rows.select("_id", "_geometry", "_cuts", "_levels").mapInArrow(run, f"_id array<long>, _thin {GEOMETRY}, _arcs array<binary>, _refine array<binary>")

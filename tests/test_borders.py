@@ -115,3 +115,20 @@ def test_crossing_segments_are_found():
                 for a, b, c in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2])
             )
             assert bool(len(found)) == (crosses(ring + ring[:1]) or folded)
+
+
+def test_geometries_thinned_together_do_not_mix():
+    """Copies that lie across each other belong to different geometries: thinned in one call as one by one."""
+    cells = [g for shift in (0, 0.5) for g in ([[[[x + shift, y] for x, y in r] for r in p] for p in g] for g in grid(3, 0.3).values())]
+    cells += [[], [[]], [[[[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]], cells[0] + cells[1]]
+    rows = [(g, {(0, 0, i): True for i in range(0, 4, 2)} if g and g[0] else {}, {}) for g in cells]
+    together = arcs.thin_geometries(rows, 0.2)
+    assert together == [arcs.thin_geometries([row], 0.2)[0] for row in rows]
+    assert any(refine for _, _, refine in together) and not all(refine for _, _, refine in together)
+
+
+def test_features_of_one_file_are_dealt_out(spark):
+    """A small file is read by one task; the costly steps must not stay there."""
+    df = spark.createDataFrame([(f"{i},{j}", g) for (i, j), g in grid(5, 0.05).items()], f"cell string, geometry {GEOMETRY}").coalesce(1)
+    rows = geo.simplify_borders(df, 0.02)
+    assert rows.count() == 25 and len([f for f in rows.inputFiles() if "stored-" in f]) > 8
